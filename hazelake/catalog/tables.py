@@ -91,6 +91,7 @@ class Tables:
         fires_only = self.observations.where(F.col("event_type").isin("error", "purchase"))
         return fires_only.select(
             "event_id",
+            "ts",
             F.to_date("ts").alias("acq_date"),
             F.expr("(17550 + (user_id div 40) * 75 + (k * 11) % 83) / 1000D").alias("latitude"),
             F.expr("(9734 + (user_id % 40) * 10 + (k * 7) % 19) / 100D").alias("longitude"),
@@ -130,9 +131,9 @@ class Tables:
 
     @cached_property
     def shifted(self) -> DataFrame:
-        """The panel with each station moved to another month, to fill month columns."""
+        """The panel with each station moved by some 30-day steps, to fill month columns."""
         return self.panel.withColumn(
-            "Datetime", F.expr("Datetime + make_ym_interval(0, CAST(pid % 12 AS INT))")
+            "Datetime", F.expr("Datetime + make_dt_interval(CAST(pid % 12 AS INT) * 30)")
         )
 
     @cached_property

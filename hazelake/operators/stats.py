@@ -139,7 +139,7 @@ def histogram(df: DataFrame, column, bins: int) -> DataFrame:
     )
 
 
-def linear_trend(df: DataFrame, y, x) -> list[Column]:
+def linear_trend(y, x) -> list[Column]:
     """Aggregates of a least-squares line: slope, intercept, r, n."""
     y, x = S.col(y), S.col(x)
     return [
