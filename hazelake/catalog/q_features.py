@@ -3,7 +3,7 @@
 from hazelake.catalog.register import query
 from hazelake.catalog.tables import TRAIN_END
 from hazelake.constants import FEATURES, FIRE_LAGS, FIRE_WINDOWS, PM25_LAGS, PM25_WINDOWS
-from hazelake.operators.series import lags, rolling_full, windowed
+from hazelake.operators.series import Rolling, lags, windowed, with_rolling
 from hazelake.plans import features as X
 
 TWO_PI = "(2e0 * pi())"
@@ -122,15 +122,14 @@ _ROLL = _rolling_sql()[: 3 * len(PM25_WINDOWS)]
 
 @query("rolling_lagged", "Province Datetime " + _names(_ROLL), _select(_ROLL))
 def rolling_lagged(t):
-    from hazelake.operators.series import rolling_before
-
-    names = {s: f"pm25_roll_{s}_{{}}h" for s in ("mean", "std", "max")}
-    return _windowed(t, lambda w: rolling_before(w, "PM25", PM25_WINDOWS, names), max(PM25_WINDOWS), ["PM25"])
+    frame = t.observed.select("Province", "Datetime", "PM25")
+    return with_rolling(frame, "Province", "Datetime", [X.PM25_ROLLING], spacing="hourly")
 
 
 @query("rolling_fire_sums", "Province Datetime " + _names(_fire_sum_sql()), _select(_fire_sum_sql()))
 def rolling_fire_sums(t):
-    return _windowed(t, X.fire_sum_columns, max(FIRE_WINDOWS), ["hotspot_count", "frp_sum"])
+    frame = t.panel.select("Province", "Datetime", "hotspot_count", "frp_sum")
+    return with_rolling(frame, "Province", "Datetime", X.FIRE_ROLLING, spacing="hourly")
 
 
 _FULL = [
@@ -142,8 +141,9 @@ _FULL = [
 
 @query("rolling_inclusive", "Province Datetime " + _names(_FULL), _select(_FULL))
 def rolling_inclusive(t):
-    names = {s: f"pm25_rolling_{s}_{{}}" for s in ("mean", "std", "max", "sum")}
-    return _windowed(t, lambda w: rolling_full(w, "PM25", [3, 7, 14], names), 13, ["PM25"])
+    spec = Rolling("PM25", (3, 7, 14), {s: f"pm25_rolling_{s}_{{}}" for s in ("mean", "std", "max", "sum")})
+    frame = t.observed.select("Province", "Datetime", "PM25")
+    return with_rolling(frame, "Province", "Datetime", [spec], inclusive=True, spacing="hourly")
 
 
 @query("delta_features", "Province Datetime " + _names(_delta_sql()), _select(_delta_sql()))
@@ -188,9 +188,9 @@ FRAME_CODES = """SELECT Province, row_number() OVER (ORDER BY Province) - 1 AS p
   avg(PM25) AS province_target_enc FROM panel GROUP BY Province"""
 
 
-def training_features(t, keep=()):
-    encoding = X.target_encoding(t.observed, TRAIN_END)
-    return X.feature_matrix(t.panel, encoding, spacing="hourly", keep=keep)
+def training_features(t):
+    encoding = X.target_encoding(t.weather, TRAIN_END, readings=t.pm25)
+    return X.feature_matrix_from_sources(t.weather, t.pm25, t.daily_sparse, encoding)
 
 
 @query("feature_matrix", MATRIX_COLUMNS, _matrix_sql(), codes=TRAIN_CODES)
@@ -200,7 +200,7 @@ def feature_matrix(t):
 
 @query("feature_matrix_serving", MATRIX_COLUMNS, _matrix_sql(True), codes=FRAME_CODES)
 def feature_matrix_serving(t):
-    return X.feature_matrix(t.panel, X.frame_encoding(t.observed), profile="serving", spacing="hourly")
+    return X.feature_matrix(t.panel, X.frame_encoding(t.weather, readings=t.pm25), profile="serving", spacing="hourly")
 
 
 @query(
@@ -224,4 +224,4 @@ def feature_catalog(t):
     codes=TRAIN_CODES.replace("FROM panel", "FROM observed"),
 )
 def target_encoding(t):
-    return X.target_encoding(t.observed, TRAIN_END)
+    return X.target_encoding(t.weather, TRAIN_END, readings=t.pm25)

@@ -64,7 +64,7 @@ def feature_importance(t):
 def forecast_recursive(t):
     _, fitted = prepared(t)
     window = forecast.forecast_window(t.upto_now, NOW)
-    inputs = forecast.recursive_inputs(window, target_encoding(t.observed, TRAIN_END), spacing="hourly")
+    inputs = forecast.recursive_inputs(window, target_encoding(t.weather, TRAIN_END, readings=t.pm25), spacing="hourly")
     return forecast.forecast_recursive(inputs, fitted)
 
 

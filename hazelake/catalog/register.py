@@ -42,7 +42,9 @@ def finish(df: DataFrame, columns: str) -> DataFrame:
     for name, digits, date, wide in _parse(columns):
         c = F.col(name)
         if digits is not None:
-            c = F.round(c.cast("double"), digits)
+            # Spark's round goes through decimal text; plain arithmetic is the same in any engine
+            scale = F.lit(10.0**digits)
+            c = F.floor(c.cast("double") * scale + 0.5) / scale
         elif date:
             c = c.cast("string")
         elif wide:
@@ -56,8 +58,7 @@ def finish_sql(body: str, columns: str, extra: dict[str, str]) -> str:
     for name, digits, date, wide in _parse(columns):
         c = f'"{name}"'
         if digits is not None:
-            # adding zero turns -0.0 into 0.0
-            c = f"round(CAST({c} AS DOUBLE), {digits}) + 0e0"
+            c = f"floor(CAST({c} AS DOUBLE) * 1e{digits} + 0.5e0) / 1e{digits}"
         elif date:
             c = f"CAST({c} AS VARCHAR)"
         elif wide:

@@ -14,7 +14,9 @@ at most ``block + back + ahead`` rows however long the series or however hot the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hazelake.functions.scalar import hour_index
 
@@ -67,8 +69,14 @@ def to_blocks(
     )
 
 
-def block_window(key, ts: str):
-    return Window.partitionBy(*_keys(key), BLOCK).orderBy(ts)
+def block_window(key, ts: str) -> str:
+    """The window all column builders below refer to, as SQL text."""
+    return f"PARTITION BY {', '.join(_keys(key))}, {BLOCK} ORDER BY {ts}"
+
+
+def add_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add columns given as SQL; one call for all of them keeps wide plans quick to build."""
+    return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def from_blocks(df: DataFrame) -> DataFrame:
@@ -79,8 +87,7 @@ def windowed(
     df: DataFrame,
     key,
     ts: str,
-    columns: dict[str, Column] | None = None,
-    build=None,
+    build,
     back: int = 0,
     ahead: int = 0,
     block: int = BLOCK_ROWS,
@@ -88,37 +95,131 @@ def windowed(
 ) -> DataFrame:
     """Add the columns that ``build(window)`` returns; they may look ``back``/``ahead`` rows."""
     blocks = to_blocks(df, key, ts, back, ahead, block, spacing)
-    return from_blocks(blocks.withColumns(build(block_window(key, ts))))
+    return from_blocks(add_columns(blocks, build(block_window(key, ts))))
 
 
 # ------------------------------------------------------------------ column builders
-def lags(w, column: str, offsets, name: str) -> dict[str, Column]:
-    return {name.format(k): F.lag(column, k).over(w) for k in offsets}
+def lags(w: str, column: str, offsets, name: str) -> dict[str, str]:
+    return {name.format(k): f"lag({column}, {k}) OVER ({w})" for k in offsets}
+
+
+LONGEST_FRAME = 12
+
+
+@dataclass(frozen=True)
+class Rolling:
+    """Statistics of one column over several window lengths; names have a ``{}`` for the length."""
+
+    column: str
+    lengths: tuple[int, ...]
+    names: dict[str, str]
+
+    @property
+    def parts(self) -> list[str]:
+        """What has to be carried: count, sum, sum of squares, maximum."""
+        wanted = set(self.names)
+        users = {"n": wanted, "s": {"mean", "std", "sum"}, "q": {"std"}, "x": {"max"}}
+        return [part for part, stats in users.items() if stats & wanted]
+
+    def part(self, n: int, kind: str) -> str:
+        return f"_{kind}_{self.column}_{n}"
+
+
+def _piece(n: int) -> int:
+    """Length of the frames a window of ``n`` rows is put together from."""
+    return n if n <= LONGEST_FRAME else max(m for m in range(1, LONGEST_FRAME + 1) if n % m == 0)
 
 
-def rolling_before(w, column: str, windows, names: dict[str, str]) -> dict[str, Column]:
-    """Statistics of the ``n`` rows before the current one, from one observation on."""
-    functions = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "sum": F.sum}
-    return {
-        name.format(n): functions[stat](column).over(w.rowsBetween(-n, -1))
-        for stat, name in names.items()
-        for n in windows
+def rolling(df: DataFrame, w: str, specs, inclusive: bool) -> DataFrame:
+    """Add rolling statistics for all ``specs``.
+
+    A frame of 168 rows evaluated at every row costs 168 updates per statistic. Here only frames of
+    up to 12 rows are evaluated; a longer window adds up the results of such frames at earlier
+    rows (168 = 14 x 12), which are plain lags over the same (partition, order) and cost neither an
+    exchange nor a sort. Sums are taken of the distance to the smallest value of the block, so
+    that squares do not cancel.
+
+    ``inclusive`` frames end at the current row and stay NULL until every row of the window is
+    present; the others end one row earlier and need one observation.
+    """
+    whole = f"{w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    df = add_columns(df, {
+        spec.part(0, "c"): f"min({spec.column}) OVER ({whole})" if "std" in spec.names else "0D" for spec in specs
+    })
+    df = add_columns(df, {
+        name: sql
+        for spec in specs
+        for m in sorted({_piece(n) for n in spec.lengths})
+        for name, sql in _framed(w, spec, m, inclusive).items()
+    })
+    df = add_columns(df, {
+        name: sql
+        for spec in specs
+        for n in spec.lengths
+        if _piece(n) != n
+        for name, sql in _joined(w, spec, n, _piece(n)).items()
+    })
+    carried = [
+        spec.part(n, kind)
+        for spec in specs
+        for n in {0, *spec.lengths, *map(_piece, spec.lengths)}
+        for kind in ("c", "n", "s", "q", "x")
+    ]
+    return add_columns(df, _finished(specs, inclusive)).drop(*carried)
+
+
+def _framed(w: str, spec: Rolling, n: int, inclusive: bool) -> dict[str, str]:
+    rows = f"{n - 1} PRECEDING AND CURRENT ROW" if inclusive else f"{n} PRECEDING AND 1 PRECEDING"
+    over = f"OVER ({w} ROWS BETWEEN {rows})"
+    distance = f"({spec.column} - {spec.part(0, 'c')})"
+    made = {
+        "n": f"count({spec.column}) {over}",
+        "s": f"coalesce(sum({distance}) {over}, 0D)",
+        "q": f"coalesce(sum({distance} * {distance}) {over}, 0D)",
+        "x": f"max({spec.column}) {over}",
     }
+    return {spec.part(n, kind): made[kind] for kind in spec.parts}
 
 
-def rolling_full(w, column: str, windows, names: dict[str, str]) -> dict[str, Column]:
-    """Statistics of ``n`` rows up to the current one; NULL until all ``n`` are present."""
-    functions = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "sum": F.sum}
+def _joined(w: str, spec: Rolling, n: int, piece: int) -> dict[str, str]:
+    def pieces(kind, default):
+        column = spec.part(piece, kind)
+        return [column, *[f"lag({column}, {k}, {default}) OVER ({w})" for k in range(piece, n, piece)]]
+
+    made = {kind: " + ".join(pieces(kind, "0L" if kind == "n" else "0D")) for kind in spec.parts if kind != "x"}
+    if "x" in spec.parts:
+        made["x"] = f"greatest({', '.join(pieces('x', 'NULL'))})"
+    return {spec.part(n, kind): sql for kind, sql in made.items()}
+
+
+def _finished(specs, inclusive: bool) -> dict[str, str]:
     out = {}
-    for stat, name in names.items():
-        for n in windows:
-            frame = w.rowsBetween(-(n - 1), 0)
-            out[name.format(n)] = F.when(
-                F.count(column).over(frame) == n, functions[stat](column).over(frame)
-            )
+    for spec in specs:
+        centre = spec.part(0, "c")
+        for n in spec.lengths:
+            count, s, q, x = (spec.part(n, kind) for kind in ("n", "s", "q", "x"))
+            spread = f"({q} - {s} * {s} / {count})"
+            values = {
+                "mean": f"{centre} + {s} / {count}",
+                "sum": f"{s} + {centre} * {count}",
+                "max": x,
+                # what is left of equal values is rounding, not spread
+                "std": f"CASE WHEN {count} >= 2 THEN sqrt(CASE WHEN {spread} > {q} * 1e-12D THEN {spread} ELSE 0D END"
+                f" / ({count} - 1)) END",
+            }
+            enough = f"{count} = {n}" if inclusive else f"{count} >= 1"
+            for stat, name in spec.names.items():
+                out[name.format(n)] = f"CASE WHEN {enough} THEN {values[stat]} END"
     return out
 
 
+def with_rolling(df: DataFrame, key, ts: str, specs, inclusive: bool = False, block: int = BLOCK_ROWS, spacing: str = "rows") -> DataFrame:
+    """Rolling statistics over whole series, in blocks."""
+    back = max(n for spec in specs for n in spec.lengths)
+    blocks = to_blocks(df, key, ts, back, block=block, spacing=spacing)
+    return from_blocks(rolling(blocks, block_window(key, ts), specs, inclusive))
+
+
 # ------------------------------------------------------------------ unbounded look-back
 def fill_gaps(df: DataFrame, key, ts: str, columns, block: int = BLOCK_ROWS) -> DataFrame:
     """Forward fill, then backward fill, per series.

@@ -26,9 +26,11 @@ from hazelake.operators.series import (
     BLOCK_ROWS,
     block_window,
     from_blocks,
+    Rolling,
+    add_columns,
+    label_encode,
     lags,
-    rolling_before,
-    rolling_full,
+    rolling,
     to_blocks,
 )
 from hazelake.operators.splits import complete_cases, ntz
@@ -85,70 +87,55 @@ def interaction_columns(profile: str = "training", ts: str = "Datetime") -> dict
 
 
 # ------------------------------------------------------------------ windowed features
-def pm25_lag_columns(w) -> dict[str, Column]:
+def pm25_lag_columns(w: str) -> dict[str, str]:
     return lags(w, "PM25", PM25_LAGS, "pm25_lag_{}h")
 
 
-def fire_lag_columns(w, profile: str = "training") -> dict[str, Column]:
-    out = {}
+def fire_lag_columns(w: str, profile: str = "training") -> dict[str, str]:
+    out = {**lags(w, "hotspot_count", FIRE_LAGS, "hotspot_lag_{}h"), **lags(w, "frp_sum", FIRE_LAGS, "frp_sum_lag_{}h")}
     for k in FIRE_LAGS:
-        count = F.lag("hotspot_count", k).over(w)
-        logged = F.log1p(count)
-        out[f"hotspot_lag_{k}h"] = count
-        out[f"frp_sum_lag_{k}h"] = F.lag("frp_sum", k).over(w)
-        out[f"hotspot_log_lag_{k}h"] = (
-            logged if PROFILES[profile].inclusive else F.coalesce(logged, F.lit(0.0))
-        )
+        logged = f"log1p(lag(hotspot_count, {k}) OVER ({w}))"
+        out[f"hotspot_log_lag_{k}h"] = logged if PROFILES[profile].inclusive else f"coalesce({logged}, 0D)"
     return out
 
 
-def rolling_columns(w, profile: str = "training") -> dict[str, Column]:
-    pm25 = {s: f"pm25_roll_{s}_{{}}h" for s in ("mean", "std", "max")}
-    roll = rolling_full if PROFILES[profile].inclusive else rolling_before
-    return {
-        **roll(w, "PM25", PM25_WINDOWS, pm25),
-        **fire_sum_columns(w, profile),
-    }
-
-
-def fire_sum_columns(w, profile: str = "training") -> dict[str, Column]:
-    roll = rolling_full if PROFILES[profile].inclusive else rolling_before
-    return {
-        **roll(w, "hotspot_count", FIRE_WINDOWS, {"sum": "hotspot_roll_sum_{}h"}),
-        **roll(w, "frp_sum", FIRE_WINDOWS, {"sum": "frp_roll_sum_{}h"}),
-    }
+PM25_ROLLING = Rolling("PM25", tuple(PM25_WINDOWS), {s: f"pm25_roll_{s}_{{}}h" for s in ("mean", "std", "max")})
+FIRE_ROLLING = [
+    Rolling("hotspot_count", tuple(FIRE_WINDOWS), {"sum": "hotspot_roll_sum_{}h"}),
+    Rolling("frp_sum", tuple(FIRE_WINDOWS), {"sum": "frp_roll_sum_{}h"}),
+]
 
 
-def delta_columns(w, profile: str = "training") -> dict[str, Column]:
+def delta_columns(w: str, profile: str = "training") -> dict[str, str]:
     shift = 0 if PROFILES[profile].inclusive else 1
 
     def back(column, k):
-        return F.lag(column, k).over(w) if k else F.col(column)
+        return f"lag({column}, {k}) OVER ({w})" if k else column
 
-    pm25 = {
-        f"pm25_delta_{k}h": back("PM25", shift) - back("PM25", shift + k) for k in (1, 24)
-    }
-    humidity = {
-        f"humidity_delta_{k}h": F.col("relative_humidity_2m") - back("relative_humidity_2m", k)
-        for k in (1, 24)
-    }
-    return {**pm25, **humidity}
+    out = {f"pm25_delta_{k}h": f"{back('PM25', shift)} - {back('PM25', shift + k)}" for k in (1, 24)}
+    for k in (1, 24):
+        out[f"humidity_delta_{k}h"] = f"relative_humidity_2m - {back('relative_humidity_2m', k)}"
+    return out
 
 
 # ------------------------------------------------------------------ station encodings
-def target_encoding(panel: DataFrame, train_end) -> DataFrame:
-    """Mean PM25 and alphabetical ordinal of the stations seen in training rows."""
-    train = panel.where(F.col("Datetime") <= ntz(train_end))
-    means = train.groupBy("Province").agg(F.avg("PM25").alias("province_target_enc"))
-    ordinal = (F.row_number().over(Window.orderBy("Province")) - 1).cast("int")
-    return means.select("Province", ordinal.alias("province_label"), "province_target_enc")
+def target_encoding(panel: DataFrame, train_end, readings: DataFrame | None = None) -> DataFrame:
+    """Alphabetical ordinal and mean PM25 of the stations that have training rows.
+
+    ``readings`` may name a narrower table to take PM25 from than the panel.
+    """
+    known = F.col("Datetime") <= ntz(train_end)
+    return _encode(panel.where(known), panel.where(known) if readings is None else readings.where(known))
 
 
-def frame_encoding(panel: DataFrame) -> DataFrame:
+def frame_encoding(panel: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """Serving fallback: the mean over whatever part of the series is at hand."""
-    means = panel.groupBy("Province").agg(F.avg("PM25").alias("province_target_enc"))
-    ordinal = (F.row_number().over(Window.orderBy("Province")) - 1).cast("int")
-    return means.select("Province", ordinal.alias("province_label"), "province_target_enc")
+    return _encode(panel, panel if readings is None else readings)
+
+
+def _encode(panel: DataFrame, readings: DataFrame) -> DataFrame:
+    means = readings.groupBy("Province").agg(F.avg("PM25").alias("province_target_enc"))
+    return label_encode(panel, "Province", "province_label").join(means, "Province", "left")
 
 
 def _encoding_by_block(panel: DataFrame, encoding: DataFrame, block: int, spacing: str) -> DataFrame:
@@ -180,21 +167,77 @@ def feature_matrix(
     profile: str = "training",
     block: int = BLOCK_ROWS,
     spacing: str = "rows",
-    keep=(),
 ) -> DataFrame:
-    """Province, Datetime, PM25, the 69 features in stored order, then ``keep``.
+    """Province, Datetime, PM25 and the 69 features in stored order.
 
     Features only look back, so they are computed once over the whole series and any split is a
     filter afterwards. All frames share one window spec: one exchange, one sort.
     """
-    slim = panel.select(*PANEL_COLUMNS, *keep)
+    slim = panel.select(*PANEL_COLUMNS)
     blocks = to_blocks(slim, "Province", "Datetime", back=HISTORY_ROWS, block=block, spacing=spacing)
-    codes = _encoding_by_block(slim, encoding, block, spacing)
+    return _matrix(blocks, _encoding_by_block(slim, encoding, block, spacing), profile)
+
+
+def feature_matrix_from_sources(
+    weather: DataFrame,
+    pm25: DataFrame,
+    daily: DataFrame,
+    encoding: DataFrame,
+    profile: str = "training",
+    block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The same matrix straight from hourly weather, readings and daily fires."""
+    blocks = merge_sources(weather, pm25, daily, block)
+    return _matrix(blocks, _encoding_by_block(weather, encoding, block, "hourly"), profile)
+
+
+def merge_sources(weather: DataFrame, pm25: DataFrame, daily: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks of the hourly panel, put together without a join.
+
+    Two joins, on the hour and on the date, and a window on the block would shuffle the panel three
+    times. Here the three tables are cut into the same blocks and stacked, one exchange brings
+    a block together, and its sort order places each reading right before its hour and each day's
+    fires before the hours of the day. Keys have to be unique, as they are after
+    ``history_wins``; weather has to have a row for every hour.
+    """
+    kinds = {"fires": 0, "reading": 1, "hour": 2}
+    fires = F.struct("date", *[F.col(c).cast("double").alias(c) for c in FIRE_COLUMNS])
+    midnight = F.col("date").cast("timestamp_ntz")
+
+    def cut(df, kind, ahead_of_last_hour=0):
+        marked = df.withColumn("_kind", F.lit(kinds[kind]))
+        back = HISTORY_ROWS + ahead_of_last_hour
+        return to_blocks(marked, "Province", "Datetime", back, block=block, spacing="hourly")
+
+    stacked = (
+        cut(weather.select("Province", "Datetime", *WEATHER_COLUMNS), "hour")
+        .unionByName(cut(pm25.select("Province", "Datetime", "PM25"), "reading"), allowMissingColumns=True)
+        .unionByName(
+            cut(daily.select("Province", midnight.alias("Datetime"), fires.alias("_fires")), "fires", 23),
+            allowMissingColumns=True,
+        )
+    )
+    w = Window.partitionBy("Province", BLOCK).orderBy("Datetime", "_kind")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = {c: F.lag(c).over(w) for c in ("Datetime", "_kind", "PM25")}
+    same_hour = (before["Datetime"] == F.col("Datetime")) & (before["_kind"] == kinds["reading"])
+    placed = stacked.withColumns({
+        "PM25": F.when(same_hour, before["PM25"]),
+        "_fires": F.last("_fires", ignorenulls=True).over(upto),
+    }).where(F.col("_kind") == kinds["hour"])
+    same_day = F.col("_fires.date") == F.to_date("Datetime")
+    return placed.withColumns({
+        c: F.when(same_day, F.coalesce(F.col(f"_fires.{c}"), F.lit(0.0))).otherwise(0.0) for c in FIRE_COLUMNS
+    }).drop("_fires", "_kind")
+
+
+def _matrix(blocks: DataFrame, codes: DataFrame, profile: str) -> DataFrame:
     w = block_window("Province", "Datetime")
-    built = blocks.join(codes, ["Province", BLOCK], "left").withColumns({
+    coded = blocks.join(codes, ["Province", BLOCK], "left")
+    rolled = rolling(coded, w, [PM25_ROLLING, *FIRE_ROLLING], PROFILES[profile].inclusive)
+    built = add_columns(rolled, {
         **pm25_lag_columns(w),
         **fire_lag_columns(w, profile),
-        **rolling_columns(w, profile),
         **delta_columns(w, profile),
     })
     own = from_blocks(built).withColumns({
@@ -204,7 +247,7 @@ def feature_matrix(
     })
     if profile == "serving":
         own = complete_cases(own, ["pm25_lag_72h"])
-    return own.select("Province", "Datetime", "PM25", *FEATURES, *keep)
+    return own.select("Province", "Datetime", "PM25", *FEATURES)
 
 
 def feature_catalog(features: DataFrame) -> DataFrame:
