@@ -7,6 +7,7 @@ from hazelake.catalog.register import query
 from hazelake.catalog.tables import NOW
 from hazelake.constants import AUDIENCE_THRESHOLDS, RISK_LEVELS
 from hazelake.operators import fires, splits
+from hazelake.operators.lookup import lookup
 from hazelake.plans import alerts
 
 LIVE = {**LINEAR, "live": SERVING + " "}
@@ -141,7 +142,7 @@ def scored_fires(t):
     wind = t.weather.select(
         "Province", F.col("Datetime").cast("date").alias("acq_date"), F.col("wind_direction_10m").alias("wind"),
     ).where(F.hour(t.weather["Datetime"]) == 0)
-    known = t.located.join(places, "Province").join(wind, ["Province", "acq_date"])
+    known = lookup(t.located, places, "Province", "inner").join(wind, ["Province", "acq_date"])
     return fires.priority(known, "lat", "lon", "wind")
 
 

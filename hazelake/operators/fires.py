@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hazelake.constants import FIRE_COLUMNS, LOW_CONFIDENCE
 from hazelake.functions import scalar as S
+from hazelake.operators.lookup import lookup
 from hazelake.operators.series import top_per_group
 
 WATER_REFLECTION = 3
@@ -56,7 +57,7 @@ def recent_means(daily: DataFrame, days: int = 3) -> DataFrame:
 def fill_from_recent(panel: DataFrame, daily: DataFrame, days: int = 3) -> DataFrame:
     """Rows without a fire count take the recent means of their name for all measures, else 0."""
     unknown = F.col("hotspot_count").isNull()
-    filled = panel.join(recent_means(daily, days), "Province", "left").withColumns({
+    filled = lookup(panel, recent_means(daily, days), "Province").withColumns({
         c: F.coalesce(F.when(unknown, F.col(f"_proxy_{c}")).otherwise(F.col(c)), F.lit(0.0))
         for c in FIRE_COLUMNS
     })

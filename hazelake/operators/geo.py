@@ -134,3 +134,9 @@ def match_report(joined: DataFrame, name: str = "Province") -> DataFrame:
         F.try_divide(outside * 100.0, total).alias("outside_pct"),
         F.count(name).alias("matched"),
     )
+
+
+def map_regions(polygons: DataFrame, mapping: DataFrame, name: str, ours: str) -> DataFrame:
+    """Keep the polygons a mapping knows, under the names it gives them."""
+    kept = polygons.join(mapping.select(name, F.col(ours).alias("_ours")), name)
+    return kept.withColumn(name, F.col("_ours")).drop("_ours")

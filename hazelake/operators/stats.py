@@ -7,6 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazelake.functions import scalar as S
+from hazelake.operators.lookup import lookup
 from hazelake.operators.quantiles import exact_quantiles
 from hazelake.operators.series import lags, windowed
 
@@ -29,15 +30,20 @@ def profile(df: DataFrame, ts: str, key: str, columns) -> DataFrame:
 
 
 def describe_long(df: DataFrame, columns) -> DataFrame:
-    long = to_long(df, columns)
-    base = long.groupBy("column").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(long, "column", "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    """Count, mean, deviation, extremes and exact quartiles per column.
+
+    The moments are one wide aggregate turned into rows afterwards; only the quartiles need the
+    values in long form.
+    """
+    moments = {
+        "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+    }
+    wide = df.agg(*[f(F.col(c).cast("double")).alias(f"{name}_{c}") for c in columns for name, f in moments.items()])
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{c}").alias(name) for name in moments]) for c in columns
+    ]
+    base = wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+    quartiles = exact_quantiles(to_long(df, columns), "column", "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return base.join(quartiles, "column", "left").select(
         "column", "n", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
@@ -103,8 +109,38 @@ def correlation_pairs(df: DataFrame, pairs, by=()) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns) -> DataFrame:
-    """Upper triangle with the diagonal."""
-    return correlation_pairs(df, list(combinations_with_replacement(columns, 2)))
+    """Upper triangle with the diagonal, over the rows where both columns are present.
+
+    Rows are grouped by which columns they have, usually one or two patterns. Per pattern one plain
+    sum per pair of columns is enough; a pair then adds up the patterns that have both. Values
+    are measured from the column minimum, so that a constant column has exactly no variance.
+    """
+    columns = list(columns)
+    least = df.agg(*[F.min(c).alias(c) for c in columns])
+    shifted = df.select(
+        F.array(*[F.col(c).isNotNull() for c in columns]).alias("_has"),
+        *[F.coalesce(F.col(c) - least.select(c).scalar(), F.lit(0.0)).alias(c) for c in columns],
+    )
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    sums = shifted.groupBy("_has").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(columns)],
+        *[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"_p{i}_{j}") for i, j in pairs],
+    )
+    entries = [
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_s{i}").alias("si"), F.col(f"_s{j}").alias("sj"),
+            F.col(f"_p{i}_{i}").alias("ii"), F.col(f"_p{j}_{j}").alias("jj"), F.col(f"_p{i}_{j}").alias("ij"),
+        )
+        for i, j in pairs
+    ]
+    long = sums.select("_has", "_n", F.explode(F.array(*entries)).alias("_e")).where("_has[_e.i] AND _has[_e.j]")
+    merged = long.groupBy("_e.i", "_e.j").agg(
+        F.sum("_n").alias("n"), *[F.sum(f"_e.{c}").alias(c) for c in ("si", "sj", "ii", "jj", "ij")]
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    r = F.expr("try_divide(ij - si * sj / n, sqrt((ii - si * si / n) * (jj - sj * sj / n)))")
+    return merged.select(names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"), r.alias("r"))
 
 
 def autocorrelation(df: DataFrame, key: str, ts: str, column: str, offsets, **blocking) -> DataFrame:
@@ -123,19 +159,18 @@ def histogram(df: DataFrame, column, bins: int) -> DataFrame:
     """Equal-width bins between the extremes, the last one closed; all bins are listed."""
     data = df.select(S.col(column).alias("_x")).where("_x IS NOT NULL")
     span = data.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("_x").alias("_n"))
-    lo, hi, n = (span.select(c).scalar() for c in ("_lo", "_hi", "_n"))
+    lo, hi, total = (span.select(c).scalar() for c in ("_lo", "_hi", "_n"))
     width = (hi - lo) / F.lit(float(bins))
     index = F.least(F.floor(F.try_divide(F.col("_x") - lo, width)), F.lit(bins - 1))
-    counts = data.groupBy(F.coalesce(index, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    listed = every.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return listed.select(
-        "bin",
-        (F.col("_lo") + F.col("bin") * step).alias("lo"),
-        (F.col("_lo") + (F.col("bin") + 1) * step).alias("hi"),
-        "n",
-        F.try_divide(F.col("n"), F.col("_n") * step).alias("density"),
+    counts = data.groupBy(F.coalesce(index, F.lit(0)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
+    listed = df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counts, "bin", "left")
+    n = F.coalesce("_c", F.lit(0))
+    return listed.where(total > 0).select(
+        F.col("bin").cast("int").alias("bin"),
+        (lo + F.col("bin") * width).alias("lo"),
+        (lo + (F.col("bin") + 1) * width).alias("hi"),
+        n.alias("n"),
+        F.try_divide(n, total * width).alias("density"),
     )
 
 
@@ -169,7 +204,7 @@ def density_curves(df: DataFrame, key: str, column: str, points: int = 100) -> D
     )
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
-    spread = counted.join(scale, key).select("*", grid)
+    spread = lookup(counted, scale, key, "inner").select("*", grid)
     at = F.col("_lo") + F.col("point") * step
     gap = (at - F.col("_v")) / F.col("_h")
     kernel = F.col("_c") * F.exp(gap * gap * F.lit(-0.5))

@@ -73,37 +73,48 @@ def forecast_peak(forecast: DataFrame, value: str = "predicted") -> DataFrame:
 
 
 def kpi_cards(frame: DataFrame, hotspots: DataFrame, now) -> DataFrame:
-    """One indicator row per station.
+    """One indicator row per station out of a frame with one row per hour.
 
-    ``fire_count`` covers the latest detection date and the one before it: dates carry no hours,
-    so "24 hours" spans two calendar days.
+    A week is 168 rows, which in an hourly frame is 168 hours: everything is a conditional
+    aggregate, so one pass with map-side partials does it. ``fire_count`` covers the latest
+    detection date and the one before it: dates carry no hours, so "24 hours" spans two days.
     """
-    latest = asof_latest(frame, now, ["temperature_2m", "relative_humidity_2m", "wind_direction_10m"])
-    ahead = forecast_rows(frame, now).groupBy("Province").agg(
-        F.max("predicted").alias("_fmax"), F.avg("predicted").alias("_fmean")
+    ts, at, week = F.col("Datetime"), ntz(now), F.expr(f"INTERVAL '{WEEK_ROWS}' HOUR")
+    ahead = (ts > at) & (ts <= at + week)
+    past = (ts <= at) & (ts > at - week)
+    carried = ["temperature_2m", "relative_humidity_2m", "wind_direction_10m"]
+    row = F.struct(ts.alias("ts"), F.col("PM25").alias("pm25"), *carried)
+    stations = frame.groupBy("Province").agg(
+        F.max_by(row, F.when(ts <= at, ts)).alias("_latest"),
+        F.max_by(row, F.when(ts <= at - F.expr("INTERVAL 1 DAY"), ts)).alias("_prev"),
+        F.min_by(row, ts).alias("_first"),
+        F.max(F.when(ahead, F.col("predicted"))).alias("_fmax"),
+        F.avg(F.when(ahead, F.col("predicted"))).alias("_fmean"),
+        F.avg(F.when(past, F.col("PM25"))).alias("_amean"),
+        F.max("PM25").alias("_omax"),
     )
-    past = actual_rows(frame, now).groupBy("Province").agg(F.avg("PM25").alias("_amean"))
-    peak = frame.groupBy("Province").agg(F.max("PM25").alias("_omax"))
+    latest = F.coalesce("_latest", "_first")
     fires = since_latest(hotspots, "acq_date", 1).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("frp"), F.lit(0.0)).alias("frp")
     )
-    joined = latest.join(ahead, "Province", "left").join(past, "Province", "left").join(peak, "Province", "left")
-    forecast_max = F.coalesce("_fmax", "pm25_now")
-    trend = F.coalesce(F.col("_fmean") - F.col("_amean"), F.lit(0.0))
-    return joined.withColumns({"forecast_max": forecast_max, "weekly_trend": trend}).select(
+    cards = stations.withColumns({"_latest": latest, "_prev": F.coalesce("_prev", latest)}).withColumns({
+        "now_ts": F.col("_latest.ts"),
+        "pm25_now": F.col("_latest.pm25"),
+        "forecast_max": F.coalesce(F.col("_fmax"), F.col("_latest.pm25")),
+        "weekly_trend": F.coalesce(F.col("_fmean") - F.col("_amean"), F.lit(0.0)),
+    })
+    return cards.select(
         "Province",
         "now_ts",
         "pm25_now",
-        (F.col("pm25_now") - F.col("pm25_prev")).alias("delta_24h"),
+        (F.col("pm25_now") - F.col("_prev.pm25")).alias("delta_24h"),
         S.risk_level("pm25_now").alias("level_now"),
         "forecast_max",
         S.risk_level("forecast_max").alias("level_forecast"),
         "weekly_trend",
         S.trend_icon("weekly_trend").alias("trend_icon"),
         S.trend_direction("weekly_trend").alias("trend_direction"),
-        "temperature_2m",
-        "relative_humidity_2m",
-        "wind_direction_10m",
+        *[F.col(f"_latest.{c}").alias(c) for c in carried],
         fires.select("n").scalar().alias("fire_count"),
         fires.select("frp").scalar().alias("fire_frp_sum"),
         S.axis_bound("_omax", "_fmax").alias("axis_bound"),

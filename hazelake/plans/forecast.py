@@ -86,49 +86,94 @@ def recursive_inputs(frame: DataFrame, encoding: DataFrame, spacing: str = "rows
 def forecast_recursive(inputs: DataFrame, fitted, trees: int | None = None, clip_at_zero: bool = False) -> DataFrame:
     """Predict hour by hour from the last reading on, each prediction feeding the next.
 
-    Stations run in parallel, hours of a station in sequence. ``inputs`` covers a
-    :func:`forecast_window`, so a group is a few hundred rows whatever the history.
-    A station without any reading yields no rows.
+    ``inputs`` covers a :func:`forecast_window`, so a station is a few hundred rows whatever its
+    history. Stations are spread over tasks; inside a task they step through their hours
+    side by side, ``CHUNK`` stations at a time, which also bounds what a worker holds. A station
+    without any reading yields no rows.
     """
     model = fitted.ensemble if trees is None else fitted.ensemble.first(trees)
     names = list(fitted.features)
-    place = {name: i for i, name in enumerate(names)}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Datetime")
-        series = pdf["PM25"].to_numpy(dtype=float).copy()
-        seen = np.flatnonzero(~np.isnan(series))
-        first = int(seen[-1]) + 1 if seen.size else len(series)
-        x = pdf[names].to_numpy(dtype=float)
-        for i in range(first, len(series)):
-            _refresh(x[i], series, i, place)
-            value = float(model.predict(x[i : i + 1])[0])
-            series[i] = max(value, 0.0) if clip_at_zero else value
-        return pd.DataFrame({
-            "Province": pdf["Province"].iloc[first:],
-            "Datetime": pdf["Datetime"].iloc[first:],
-            "Predicted_PM25": series[first:],
-            "last_ts": pdf["Datetime"].iloc[first - 1] if first else pd.NaT,
-        })
+    def run(batches):
+        for chunk in _whole_stations(batches):
+            yield _step_chunk(chunk, model, names, clip_at_zero)
 
     schema = "Province string, Datetime timestamp_ntz, Predicted_PM25 double, last_ts timestamp_ntz"
-    return inputs.groupBy("Province").applyInPandas(run, schema)
+    ordered = inputs.repartition("Province").sortWithinPartitions("Province", "Datetime")
+    return ordered.mapInPandas(run, schema)
+
+
+CHUNK = 64
 
 
-def _refresh(row: np.ndarray, series: np.ndarray, i: int, place: dict[str, int]) -> None:
-    """Redo the features of hour ``i`` that depend on PM25; what is missing becomes 0."""
+def _whole_stations(batches):
+    """Regroup sorted batches into frames of at least ``CHUNK`` complete stations."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if held["Province"].nunique() > CHUNK:
+            unfinished = held["Province"] == held["Province"].iloc[-1]
+            yield held[~unfinished].reset_index(drop=True)
+            held = held[unfinished].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
 
-    def at(k):
-        return series[i - k] if i >= k else np.nan
 
+def _step_chunk(pdf: pd.DataFrame, model, names: list[str], clip_at_zero: bool) -> pd.DataFrame:
+    place = {name: i for i, name in enumerate(names)}
+    x = pdf[names].to_numpy(dtype=float)
+    pm25 = pdf["PM25"].to_numpy(dtype=float).copy()
+    starts = np.flatnonzero(pdf["Province"].ne(pdf["Province"].shift()).to_numpy())
+    ends = np.append(starts[1:], len(pdf))
+    firsts, last_of = [], np.empty(len(pdf), dtype=np.int64)
+    for start, end in zip(starts, ends):
+        seen = np.flatnonzero(~np.isnan(pm25[start:end]))
+        first = start + seen[-1] + 1 if seen.size else end
+        firsts.append(first)
+        last_of[start:end] = first - 1
+    firsts = np.array(firsts)
+    memory = max(PM25_WINDOWS)
+    recent = np.full((len(starts), memory), np.nan)
+    for k, (start, first) in enumerate(zip(starts, firsts)):
+        tail = pm25[max(start, first - memory) : first]
+        recent[k, memory - len(tail) :] = tail
+    for step in range(int((ends - firsts).max(initial=0))):
+        live = np.flatnonzero(firsts + step < ends)
+        rows = firsts[live] + step
+        x[rows] = _refreshed(x[rows], recent[live], place)
+        value = model.predict(x[rows])
+        pm25[rows] = np.maximum(value, 0.0) if clip_at_zero else value
+        recent[live, :-1] = recent[live, 1:]
+        recent[live, -1] = pm25[rows]
+    ahead = np.concatenate([np.arange(f, e) for f, e in zip(firsts, ends)] or [np.empty(0, np.int64)]).astype(np.int64)
+    out = pdf.iloc[ahead]
+    return pd.DataFrame({
+        "Province": out["Province"].to_numpy(),
+        "Datetime": out["Datetime"].to_numpy(),
+        "Predicted_PM25": pm25[ahead],
+        "last_ts": pdf["Datetime"].to_numpy()[last_of[ahead]],
+    })
+
+
+def _refreshed(x: np.ndarray, recent: np.ndarray, place: dict[str, int]) -> np.ndarray:
+    """Redo the features that depend on PM25, one row per station; what is missing becomes 0.
+
+    ``recent`` holds the hours before the row, the latest one last.
+    """
+    x = x.copy()
     for k in PM25_LAGS:
-        row[place[f"pm25_lag_{k}h"]] = at(k)
-    for n in PM25_WINDOWS:
-        window = series[max(0, i - n) : i]
-        window = window[~np.isnan(window)]
-        row[place[f"pm25_roll_mean_{n}h"]] = window.mean() if window.size else np.nan
-        row[place[f"pm25_roll_std_{n}h"]] = window.std(ddof=1) if window.size > 1 else np.nan
-        row[place[f"pm25_roll_max_{n}h"]] = window.max() if window.size else np.nan
-    row[place["pm25_delta_1h"]] = at(1) - at(2)
-    row[place["pm25_delta_24h"]] = at(1) - at(25)
-    np.nan_to_num(row, copy=False, nan=0.0)
+        x[:, place[f"pm25_lag_{k}h"]] = recent[:, -k]
+    present = ~np.isnan(recent)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for n in PM25_WINDOWS:
+            window, has = recent[:, -n:], present[:, -n:]
+            count = has.sum(axis=1)
+            mean = np.where(has, window, 0.0).sum(axis=1) / count
+            spread = (np.where(has, window - mean[:, None], 0.0) ** 2).sum(axis=1)
+            x[:, place[f"pm25_roll_mean_{n}h"]] = mean
+            x[:, place[f"pm25_roll_std_{n}h"]] = np.where(count > 1, np.sqrt(spread / (count - 1)), np.nan)
+            x[:, place[f"pm25_roll_max_{n}h"]] = np.where(has, window, -np.inf).max(axis=1)
+    x[:, place["pm25_delta_1h"]] = recent[:, -1] - recent[:, -2]
+    x[:, place["pm25_delta_24h"]] = recent[:, -1] - recent[:, -25]
+    x[~np.isfinite(x)] = 0.0
+    return x
