@@ -59,15 +59,16 @@ def polygon_cells(polygons: DataFrame, name: str, cell: float = CELL_DEGREES, sa
     """
     edges = polygons.select(name, ring_edges().alias("_edges"))
 
-    def extreme(aggregate, a, b):
-        return aggregate(F.transform("_edges", lambda e: F.greatest(e[a], e[b]) if aggregate is F.array_max else F.least(e[a], e[b])))
+    def extreme(pick, over, a, b):
+        # never NULL, so that no null check is pushed down to where the polygons come from
+        return F.coalesce(pick(F.transform("_edges", lambda e: over(e[a], e[b]))), F.lit(0.0))
 
     boxed = edges.select(
         "*",
-        extreme(F.array_min, "x1", "x2").alias("_west"),
-        extreme(F.array_max, "x1", "x2").alias("_east"),
-        extreme(F.array_min, "y1", "y2").alias("_south"),
-        extreme(F.array_max, "y1", "y2").alias("_north"),
+        extreme(F.array_min, F.least, "x1", "x2").alias("_west"),
+        extreme(F.array_max, F.greatest, "x1", "x2").alias("_east"),
+        extreme(F.array_min, F.least, "y1", "y2").alias("_south"),
+        extreme(F.array_max, F.greatest, "y1", "y2").alias("_north"),
     )
 
     def span(lo, hi):
