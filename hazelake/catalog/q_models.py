@@ -3,16 +3,19 @@
 A model is fitted once per session and data folder and shared by the queries that read it.
 """
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hazelake.catalog.q_features import training_features
+from hazelake.catalog.q_tables import LINEAR
 from hazelake.catalog.register import query
 from hazelake.catalog.tables import NOW, TRAIN_END, VALIDATION_END
 from hazelake.constants import FEATURES
+from hazelake.functions.trees import Ensemble
 from hazelake.operators import splits, stats
 from hazelake.operators.series import keep_first
 from hazelake.plans import explain, forecast, model
-from hazelake.plans.features import feature_matrix, target_encoding
+from hazelake.plans.features import target_encoding
 from hazelake.session import fresh_path
 
 PARAMS = {"maxIter": 12, "maxDepth": 5, "stepSize": 0.1}
@@ -106,3 +109,95 @@ def attribution_worst_row(t):
     worst = rows.where("split = 'test'").orderBy(F.desc("PM25"), "Province", "Datetime").limit(1)
     long = explain.to_long(explain.with_contributions(worst, fitted), fitted.features, ["Province", "Datetime"])
     return explain.top_factors(long, ["Province", "Datetime"])
+
+
+# ------------------------------------------------------------------ the same code on fixed trees
+# Two small trees whose scores, Shapley values and recursion can be written down in SQL.
+#   tree 1: pm25_lag_1h <= 40 ? (temperature_2m <= 20 ? 15 : 25) : 55     covers 30, 20, 50
+#   tree 2: pm25_roll_mean_3h <= 45 ? -20 : 30, weight 0.1                covers 60, 40
+FIXED_FEATURES = ["pm25_lag_1h", "temperature_2m", "pm25_roll_mean_3h"]
+
+
+def fixed_trees() -> model.Fitted:
+    lag, temperature, mean = (FEATURES.index(f) for f in FIXED_FEATURES)
+    nodes = pd.DataFrame(
+        [
+            (0, 0, lag, 40.0, 1, 2, 0.0, 100.0),
+            (0, 1, temperature, 20.0, 3, 4, 0.0, 50.0),
+            (0, 2, -1, 0.0, -1, -1, 55.0, 50.0),
+            (0, 3, -1, 0.0, -1, -1, 15.0, 30.0),
+            (0, 4, -1, 0.0, -1, -1, 25.0, 20.0),
+            (1, 0, mean, 45.0, 1, 2, 0.0, 100.0),
+            (1, 1, -1, 0.0, -1, -1, -20.0, 60.0),
+            (1, 2, -1, 0.0, -1, -1, 30.0, 40.0),
+        ],
+        columns=["tree", "id", "feature", "threshold", "left", "right", "value", "cover"],
+    )
+    return model.Fitted(None, Ensemble.from_nodes(nodes, [1.0, 0.1]))
+
+
+def _known_rows(t):
+    return splits.complete_cases(training_features(t), FIXED_FEATURES)
+
+
+FIXED_ROWS = """SELECT * FROM (SELECT Province, Datetime, temperature_2m,
+  lag(PM25, 1) OVER (PARTITION BY Province ORDER BY Datetime) AS pm25_lag_1h,
+  avg(PM25) OVER (PARTITION BY Province ORDER BY Datetime ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS pm25_roll_mean_3h
+  FROM observed) AS w WHERE pm25_lag_1h IS NOT NULL AND pm25_roll_mean_3h IS NOT NULL"""
+
+
+def _fixed_score(lag, temperature, mean):
+    return (
+        f"CASE WHEN {lag} <= 40 THEN CASE WHEN {temperature} <= 20 THEN 15e0 ELSE 25e0 END ELSE 55e0 END"
+        f" + 0.1e0 * CASE WHEN {mean} <= 45 THEN -20e0 ELSE 30e0 END"
+    )
+
+
+@query(
+    "score_fixed_trees",
+    "Province Datetime predicted~",
+    f"SELECT Province, Datetime, {_fixed_score(*FIXED_FEATURES)} AS predicted FROM fixed_rows",
+    fixed_rows=FIXED_ROWS,
+)
+def score_fixed_trees(t):
+    return model.score(_known_rows(t), fixed_trees(), trees=2)
+
+
+@query(
+    "attribution_fixed_trees",
+    "Province Datetime feature value~ contribution~ base~",
+    """SELECT Province, Datetime, 'pm25_lag_1h' AS feature, pm25_lag_1h AS value,
+        ((va - 37) + (vab - vb)) / 2 AS contribution, 37e0 AS base FROM games
+      UNION ALL SELECT Province, Datetime, 'temperature_2m', temperature_2m, ((vb - 37) + (vab - va)) / 2, 37e0 FROM games
+      UNION ALL SELECT Province, Datetime, 'pm25_roll_mean_3h', pm25_roll_mean_3h,
+        0.1e0 * CASE WHEN pm25_roll_mean_3h <= 45 THEN -20e0 ELSE 30e0 END, 37e0 FROM games""",
+    fixed_rows=FIXED_ROWS,
+    games="""SELECT *, CASE WHEN pm25_lag_1h <= 40 THEN 19e0 ELSE 55e0 END AS va,
+      0.5e0 * CASE WHEN temperature_2m <= 20 THEN 15e0 ELSE 25e0 END + 27.5e0 AS vb,
+      CASE WHEN pm25_lag_1h <= 40 THEN CASE WHEN temperature_2m <= 20 THEN 15e0 ELSE 25e0 END ELSE 55e0 END AS vab
+      FROM fixed_rows""",
+)
+def attribution_fixed_trees(t):
+    fitted = fixed_trees()
+    rows = explain.with_contributions(_known_rows(t), fitted)
+    long = explain.to_long(rows, fitted.features, ["Province", "Datetime"])
+    return long.where(F.col("feature").isin(FIXED_FEATURES))
+
+
+@query(
+    "forecast_fixed_trees",
+    "Province Datetime Predicted_PM25~",
+    "SELECT Province, Datetime, p1 AS Predicted_PM25 FROM tree_steps WHERE n > 0",
+    **{k: LINEAR[k] for k in ("recent", "ahead")},
+    tree_start="""SELECT r.Province, r.Datetime, r.PM25 AS p1, r.p2, r.p3 FROM (SELECT *,
+      lag(PM25, 1) OVER (PARTITION BY Province ORDER BY Datetime) AS p2,
+      lag(PM25, 2) OVER (PARTITION BY Province ORDER BY Datetime) AS p3 FROM recent) AS r
+      JOIN (SELECT DISTINCT Province, last_ts FROM ahead) l ON l.Province = r.Province AND l.last_ts = r.Datetime""",
+    tree_steps=f"""SELECT Province, CAST(0 AS BIGINT) AS n, Datetime, p1, p2, p3 FROM tree_start UNION ALL
+      SELECT a.Province, a.n, a.Datetime, {_fixed_score('s.p1', 'a.temperature_2m', '((s.p1 + coalesce(s.p2, 0) + coalesce(s.p3, 0)) / (1e0 + (s.p2 IS NOT NULL)::INT + (s.p3 IS NOT NULL)::INT))')},
+        s.p1, s.p2 FROM tree_steps s JOIN ahead a ON a.Province = s.Province AND a.n = s.n + 1""",
+)
+def forecast_fixed_trees(t):
+    window = forecast.forecast_window(t.upto_now, NOW)
+    inputs = forecast.recursive_inputs(window, target_encoding(t.weather, TRAIN_END, readings=t.pm25), spacing="hourly")
+    return forecast.forecast_recursive(inputs, fixed_trees())

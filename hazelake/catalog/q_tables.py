@@ -253,6 +253,19 @@ def spatial_join(t):
     return geo.spatial_join(t.good_fires, t.polygons)
 
 
+@query(
+    "spatial_join_mapped",
+    "event_id Province",
+    """SELECT event_id, 'region ' || substr(Province, 2) AS Province FROM located
+      WHERE CAST(substr(Province, 2) AS INT) % 2 = 0""",
+)
+def spatial_join_mapped(t):
+    """Only the regions a name mapping knows, under its names."""
+    even = t.stations.where("pid % 2 = 0")
+    mapping = even.select("Province", F.concat(F.lit("region "), F.substring("Province", 2, 6)).alias("ours"))
+    return geo.spatial_join(t.good_fires, geo.map_regions(t.polygons, mapping, "Province", "ours"))
+
+
 @query(
     "spatial_match_report",
     "total outside outside_pct~ matched",
