@@ -200,7 +200,14 @@ def feature_matrix(t):
 
 @query("feature_matrix_serving", MATRIX_COLUMNS, _matrix_sql(True), codes=FRAME_CODES)
 def feature_matrix_serving(t):
-    return X.feature_matrix(t.panel, X.frame_encoding(t.weather, readings=t.pm25), profile="serving", spacing="hourly")
+    encoding = X.frame_encoding(t.weather, readings=t.pm25)
+    return X.feature_matrix_from_sources(t.weather, t.pm25, t.daily_sparse, encoding, profile="serving")
+
+
+@query("feature_matrix_of_panel", MATRIX_COLUMNS, _matrix_sql(), codes=TRAIN_CODES)
+def feature_matrix_of_panel(t):
+    """The same matrix for a panel that is already assembled, of any spacing."""
+    return X.feature_matrix(t.panel, X.target_encoding(t.weather, TRAIN_END, readings=t.pm25))
 
 
 @query(

@@ -43,7 +43,8 @@ def describe_long(df: DataFrame, columns) -> DataFrame:
         F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{c}").alias(name) for name in moments]) for c in columns
     ]
     base = wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
-    quartiles = exact_quantiles(to_long(df, columns), "column", "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    wanted = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    quartiles = exact_quantiles(to_long(df, columns), "column", "value", wanted, few_groups=True)
     return base.join(quartiles, "column", "left").select(
         "column", "n", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
