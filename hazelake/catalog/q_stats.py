@@ -2,24 +2,21 @@
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from hazelake.catalog.register import query
 from hazelake.catalog.tables import TRAIN_END, VALIDATION_END
 from hazelake.constants import AUTOCORR_LAGS, EXTREME_PM25, FIRE_COLUMNS, NUMERIC_COLUMNS
 from hazelake.functions import scalar as S
-from hazelake.operators import fires, panel, series, splits, stats
-from hazelake.plans import features as X
+from hazelake.operators import fires, series, splits, stats
+from hazelake.plans.explain import linear_attribution
+from hazelake.plans.model import fit_scaler
 
 MONTHS = range(1, 13)
 SERIES = "(PARTITION BY Province ORDER BY Datetime)"
 FIRES = " ".join(f"{c}~" for c in FIRE_COLUMNS)
 
 
-def _corr(a, b):
-    return f"(SELECT CASE WHEN isnan(r) THEN NULL ELSE r END FROM (SELECT corr({a}, {b}) AS r))"
-
-
 @query("hotspot_daily", f"date@ Province {FIRES}", "SELECT * FROM daily_sparse")
 def hotspot_daily(t):
     return fires.daily_totals(t.located)
@@ -357,8 +354,6 @@ STANDARD = ["temperature_2m", "relative_humidity_2m", "surface_pressure", "wind_
     ),
 )
 def standardize(t):
-    from hazelake.plans.model import fit_scaler
-
     return fit_scaler(t.observed, STANDARD)
 
 
@@ -374,6 +369,4 @@ _COEF = {"temperature_2m": 0.3, "relative_humidity_2m": -0.2, "surface_pressure"
     ),
 )
 def attribution_linear(t):
-    from hazelake.plans.explain import linear_attribution
-
     return linear_attribution(t.weather, _COEF, ["Province", "Datetime"])
