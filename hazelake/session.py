@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,15 @@ def build_session(master: str | None = None, app_name: str = "hazelake", **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a new local one."""
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors must all see.
+
+    Where that is unset, a local session gets a folder of its own; any other raises, because each executor
+    would write to its own disk and readers would see a part of the data.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="hazelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,6 +45,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps its written tables."""
+    return f"{shared_folder(spark)}/hazelake/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run writes to."""
-    return f"{shared_folder(spark)}/hazelake/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove this application's written tables, once nothing reads them any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
