@@ -38,10 +38,11 @@ def risk_level(t):
 
 @query(
     "forecast_daily_summary",
-    "Province date@ day mean~ max~ min~ level label",
+    "Province date@ day mean~ max~ min~ level label max_text",
     f"""SELECT Province, CAST(Datetime AS DATE) AS date, strftime(CAST(Datetime AS DATE), '%d %b %Y') AS day,
       avg(predicted) AS mean, max(predicted) AS max, min(predicted) AS min,
-      {_level_sql('max(predicted)')} AS level, {_level_sql('max(predicted)', 2)} AS label
+      {_level_sql('max(predicted)')} AS level, {_level_sql('max(predicted)', 2)} AS label,
+      printf('%.1f µg/m³', max(predicted)) AS max_text
       FROM ({AHEAD_ROWS}) GROUP BY 1, 2, 3""",
     **LIVE,
 )
@@ -151,13 +152,22 @@ def hotspot_priority(t):
     return scored_fires(t)
 
 
+EVERY_FIRE = SCORED.replace("FROM located h JOIN stations s ON s.Province = h.Province", "FROM recent_fires h CROSS JOIN stations s").replace(
+    "JOIN weather w ON w.Province = h.Province AND w.Datetime = CAST(h.acq_date AS TIMESTAMP)",
+    f"JOIN weather w ON w.Province = s.Province AND w.Datetime = TIMESTAMP '{NOW}'",
+)
+
+
 @query(
     "hotspot_priority_top",
     "Province rank# latitude~ longitude~ frp~ dist_km~ priority~",
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Province
-      ORDER BY priority DESC, latitude, longitude, frp, acq_date) AS rank FROM scored
-      WHERE acq_date >= (SELECT max(acq_date) FROM scored) - 30) WHERE rank <= 20""",
-    scored=SCORED,
+      ORDER BY priority DESC, latitude, longitude, frp, acq_date) AS rank FROM scored) WHERE rank <= 20""",
+    recent_fires="SELECT * FROM good_fires WHERE acq_date >= (SELECT max(acq_date) FROM good_fires) - 3",
+    scored=EVERY_FIRE,
 )
 def hotspot_priority_top(t):
-    return fires.priority_top(splits.since_latest(scored_fires(t), "acq_date", 30), 20)
+    """The fires that matter most to each station, of all recent ones, with the wind it has now."""
+    wind = alerts.latest_of(t.weather, NOW, "wind_direction_10m").withColumnRenamed("wind_direction_10m", "wind")
+    places = t.stations.select("Province", "lat", "lon").join(wind, "Province")
+    return fires.priority_top_of_all(splits.since_latest(t.good_fires, "acq_date", 3), places, 20)

@@ -38,13 +38,22 @@ def payload_json_rows(t):
     return ingest.json_payload_rows(landed, names)
 
 
-@query("payload_csv_rows", HOTSPOT, "SELECT * FROM hotspots")
+@query(
+    "payload_csv_rows", HOTSPOT,
+    "SELECT * REPLACE (CASE WHEN event_id // 50 % 3 = 2 THEN NULL ELSE type END AS type) FROM hotspots",
+)
 def payload_csv_rows(t):
-    names = schemas.HOTSPOTS.fieldNames()
-    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
-    chunks = t.hotspots.groupBy(F.expr("event_id div 50").alias("chunk")).agg(F.collect_list(line).alias("lines"))
-    text = F.concat(F.lit(",".join(names) + "\n"), F.array_join("lines", "\n"), F.lit("\n"))
-    bodies = chunks.select(text.alias("body"))
+    """Bodies with the declared columns, with more of them in another order, and without the fire type."""
+    declared = schemas.HOTSPOTS.fieldNames()
+    layouts = [declared, [*reversed(declared), "note"], [c for c in declared if c != "type"]]
+    rows = t.hotspots.withColumns({"note": F.lit('"high, dry"'), "chunk": F.expr("event_id div 50")})
+    bodies = None
+    for i, names in enumerate(layouts):
+        line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+        chunks = rows.where(F.col("chunk") % 3 == i).groupBy("chunk").agg(F.collect_list(line).alias("lines"))
+        text = F.concat(F.lit(",".join(names) + "\n"), F.array_join("lines", "\n"), F.lit("\n"))
+        part = chunks.select(text.alias("body"))
+        bodies = part if bodies is None else bodies.unionByName(part)
     messages = t.stations.select(
         F.expr("CASE pid % 3 WHEN 0 THEN '  ' WHEN 1 THEN 'No data available' ELSE 'Invalid request' END").alias("body")
     )
@@ -102,9 +111,9 @@ def append_to_table(t):
     """Three writes to one table: create it, overlap it, repeat a batch."""
     folder = fresh_path(t.spark, "master")
     first, second = t.daily.where("date <= DATE'2024-01-20'"), t.daily.where("date >= DATE'2024-01-16'")
-    for batch in (first, second, second):
-        ingest.append_to_table(batch, folder, "date")
-    return t.spark.read.parquet(folder)
+    for run, batch in enumerate((first, second, second)):
+        ingest.append_to_table(batch, folder, "date", run=str(run))
+    return ingest.read_appended(t.spark, folder)
 
 
 @query("sink_roundtrip", f"Province Datetime PM25~ {FIRES}", "SELECT * FROM panel")
@@ -383,11 +392,11 @@ def label_encode(t):
       SELECT *, 'head' AS part, row_number() OVER (PARTITION BY Province ORDER BY Datetime) AS rn FROM pm25
         WHERE Datetime > TIMESTAMP '{NOW}'
       UNION ALL SELECT *, 'tail' AS part, row_number() OVER (PARTITION BY Province ORDER BY Datetime DESC) AS rn FROM pm25
-        WHERE Datetime <= TIMESTAMP '{NOW}') WHERE rn <= 100""",
+        WHERE Datetime <= TIMESTAMP '{NOW}') WHERE rn <= 168""",
 )
 def head_tail_per_group(t):
-    head = alerts.forecast_rows(t.pm25, NOW, 100).withColumn("part", F.lit("head"))
-    return head.unionByName(alerts.actual_rows(t.pm25, NOW, 100).withColumn("part", F.lit("tail")))
+    head = alerts.forecast_rows(t.pm25, NOW, 168).withColumn("part", F.lit("head"))
+    return head.unionByName(alerts.actual_rows(t.pm25, NOW, 168).withColumn("part", F.lit("tail")))
 
 
 @query(

@@ -38,10 +38,6 @@ def hour_index(ts: str) -> Column:
     return F.expr(f"CAST(datediff(to_date({ts}), DATE'1970-01-01') AS BIGINT) * 24 + hour({ts})")
 
 
-def add_hours(ts: str, hours) -> Column:
-    return F.expr(f"{ts} + make_dt_interval(0, CAST({hours} AS INT), 0, 0)")
-
-
 def missing_to_null(value) -> Column:
     """NaN is how other tools spell missing; Spark aggregates only skip NULL."""
     value = col(value)

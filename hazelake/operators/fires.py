@@ -83,3 +83,64 @@ def priority_top(scored: DataFrame, n: int, key: str = "Province", rank: str = "
         F.col("acq_date").asc(),
     ]
     return top_per_group(scored.where(S.missing_to_null("priority").isNotNull()), key, order, n, rank)
+
+
+def _distance_bound(lat, lon, cx, cy, cell: float):
+    """At most the distance from a place to any point of a grid cell, in km."""
+    south, west = cy * cell, cx * cell
+    nearest = F.greatest(south, F.least(south + cell, lat))
+    along = F.lit(S.EARTH_RADIUS_KM) * F.radians(F.abs(lat - nearest))
+    gap = F.greatest(F.lit(0.0), west - lon, lon - west - cell)
+    turned = F.least(gap, F.greatest(F.lit(0.0), F.lit(360.0 - cell) - gap), F.lit(180.0))
+    flattest = F.least(F.cos(F.radians(south)), F.cos(F.radians(south + cell)))
+    across = F.sqrt(F.greatest(F.cos(F.radians(lat)) * F.greatest(flattest, F.lit(0.0)), F.lit(0.0))) * F.sin(F.radians(turned) / 2)
+    return F.greatest(along, F.lit(2 * S.EARTH_RADIUS_KM) * F.asin(F.least(across, F.lit(1.0))))
+
+
+def priority_top_of_all(hotspots: DataFrame, places: DataFrame, n: int, cell: float = 0.5, key: str = "Province") -> DataFrame:
+    """The ``n`` fires of highest priority for each place (lat, lon, wind), wherever they burn.
+
+    Without scoring every fire against every place: fires lie in classes of grid cell and power (powers of two). The
+    priority of a fire is at most 1.5 frp / (distance + 10), so a class whose strongest fire, at the nearest point of the
+    cell, stays below the n-th best priority that a place has among the strongest fires around it has nothing to offer.
+    Only places and classes that pass are joined. Classes are few: cells of a grid times some twenty powers. Places that
+    have too few fires around them look at all classes.
+    """
+    cx, cy = F.floor(F.col("longitude") / cell), F.floor(F.col("latitude") / cell)
+    known = hotspots.where(S.missing_to_null("frp").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    strength = F.when(F.col("frp") > 0, F.floor(F.log2("frp"))).otherwise(F.lit(-1100)).cast("int")
+    placed = known.withColumns({"_cx": cx, "_cy": cy, "_power": strength})
+    classes = placed.groupBy("_cx", "_cy", "_power").agg(F.max("frp").alias("_most"))
+    spots = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+
+    # the n-th best among the strongest fires of the cells around
+    strongest = top_per_group(placed, ["_cx", "_cy"], [F.desc("frp")], n, "_rn")
+    around = F.sequence(F.lit(-1), F.lit(1))
+    near = spots.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({
+        "_cx": F.floor(F.col("lon") / cell) + F.col("_dx"), "_cy": F.floor(F.col("lat") / cell) + F.col("_dy"),
+    })
+    scored = priority(near.join(strongest, ["_cx", "_cy"]), "lat", "lon", "wind")
+    floors = top_per_group(scored, key, [F.desc("priority")], n, "_rn").where(F.col("_rn") == n).select(key, F.col("priority").alias("_floor"))
+    wanted = spots.join(floors, key, "left").withColumn("_floor", F.coalesce("_floor", F.lit(0.0)))
+
+    # cells that the strongest fire of all could count from
+    extent = classes.agg(*[f(c).alias(f"{w}{c}") for w, f in (("lo", F.min), ("hi", F.max)) for c in ("_cx", "_cy")], F.max("_most").alias("most"))
+    lo_x, hi_x, lo_y, hi_y, most = (extent.select(c).scalar() for c in ("lo_cx", "hi_cx", "lo_cy", "hi_cy", "most"))
+    reach = F.when(F.col("_floor") > 0, F.lit(1.5) * F.greatest(most, F.lit(0.0)) / F.col("_floor") / 111.0 + cell).otherwise(F.lit(400.0))
+    # degrees of longitude shrink towards the poles
+    wide = reach / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(89.0)))), F.lit(0.02))
+
+    def cells(at, half, lo, hi):
+        first = F.greatest(F.floor((F.col(at) - half) / cell), lo)
+        last = F.least(F.floor((F.col(at) + half) / cell), hi)
+        # over the date line the range is not one piece: take all
+        whole = (F.abs(F.col(at)) + half > 180) if at == "lon" else F.lit(False)
+        first, last = F.when(whole, lo).otherwise(first), F.when(whole, hi).otherwise(last)
+        return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
+
+    reached = wanted.withColumn("_cy", cells("lat", reach, lo_y, hi_y)).withColumn("_cx", cells("lon", wide, lo_x, hi_x))
+    least = _distance_bound(F.col("lat"), F.col("lon"), F.col("_cx"), F.col("_cy"), cell)
+    bound = F.lit(1.5 * (1 + 1e-9)) * F.greatest(F.col("_most"), F.lit(0.0)) / (least * (1 - 1e-9) + 10)
+    chosen = reached.join(classes, ["_cx", "_cy"]).where(bound >= F.col("_floor")).drop("_most", "_floor")
+    all_scored = priority(chosen.join(placed, ["_cx", "_cy", "_power"]), "lat", "lon", "wind")
+    return priority_top(all_scored, n, key)

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hazelake.functions.scalar import hour_index
+from hazelake.session import materialised
 
 BLOCK_ROWS = 24 * 90
 BLOCK, OWN, POSITION = "_block", "_own", "_position"
@@ -69,6 +70,36 @@ def to_blocks(
     )
 
 
+def every_hour_once(blocks: DataFrame, key, ts: str) -> DataFrame:
+    """Raise where a block lacks an hour or has one twice; the check needs no exchange or sort of its own.
+
+    A gap longer than the borrowed rows that ends at the border of a block shows in neither block; ``hourly_span`` sees
+    it where the whole series is aggregated anyway.
+    """
+    w = Window.partitionBy(*_keys(key), BLOCK).orderBy(ts)
+    step = hour_index(ts) - F.lag(hour_index(ts)).over(w)
+    sound = F.when(F.coalesce(step, F.lit(1)) == 1, F.col(ts)).otherwise(
+        F.raise_error(F.lit('series has missing or repeated hours; use spacing="rows"')).cast("timestamp_ntz")
+    )
+    return blocks.withColumn(ts, sound)
+
+
+def hourly_span(ts: str) -> tuple:
+    """Aggregates for the first and last hour of a series; the first raises unless each hour in between is there once.
+
+    As many hours as there should be, with the right sum and the right sum of squares.
+    """
+    at = hour_index(ts)
+    n, first, last = F.count(at), F.min(at), F.max(at)
+
+    def pyramid(x):
+        return x * (x + 1) * (x * 2 + 1)
+
+    sound = (n == last - first + 1) & (F.sum(at) * 2 == (first + last) * n) & (F.sum(at * at) * 6 == pyramid(last) - pyramid(first - 1))
+    wrong = F.raise_error(F.lit('series has missing or repeated hours; use spacing="rows"')).cast("bigint")
+    return F.when(sound | (n == 0), first).otherwise(wrong), last
+
+
 def block_window(key, ts: str) -> str:
     """The window all column builders below refer to, as SQL text."""
     return f"PARTITION BY {', '.join(_keys(key))}, {BLOCK} ORDER BY {ts}"
@@ -95,6 +126,8 @@ def windowed(
 ) -> DataFrame:
     """Add the columns that ``build(window)`` returns; they may look ``back``/``ahead`` rows."""
     blocks = to_blocks(df, key, ts, back, ahead, block, spacing)
+    if spacing == "hourly":
+        blocks = every_hour_once(blocks, key, ts)
     return from_blocks(add_columns(blocks, build(block_window(key, ts))))
 
 
@@ -217,6 +250,8 @@ def with_rolling(df: DataFrame, key, ts: str, specs, inclusive: bool = False, bl
     """Rolling statistics over whole series, in blocks."""
     back = max(n for spec in specs for n in spec.lengths)
     blocks = to_blocks(df, key, ts, back, block=block, spacing=spacing)
+    if spacing == "hourly":
+        blocks = every_hour_once(blocks, key, ts)
     return from_blocks(rolling(blocks, block_window(key, ts), specs, inclusive))
 
 
@@ -266,7 +301,25 @@ def top_per_group(df: DataFrame, key, order, n: int, rank: str = "rank") -> Data
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+RANGES = 64
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """Sum of ``value`` over the rows up to and including each, in the order of a unique column.
+
+    Rows go to ranges of that column, which are sorted each by itself; what lies before a range is the sum of the
+    ranges before it, one number each. The ranges are written down, because two evaluations may cut them differently.
+    """
+    dealt = df.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id())
+    placed = materialised(dealt, "ranges")
+    sums = dict(placed.groupBy("_range").agg(F.sum(value)).collect())  # at most one row per range
+    before = [sum(v for r, v in sums.items() if r < i) for i in range(ranges)]
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    offset = F.get(F.array(*[F.lit(int(b)) for b in before]), F.col("_range"))
+    return placed.withColumn(name, inside + offset).drop("_range")
+
+
 def label_encode(df: DataFrame, column: str, label: str) -> DataFrame:
-    """Distinct values with their 0-based alphabetical ordinal (one row per value of a dimension)."""
-    values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    return values.withColumn(label, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    """Distinct values with their 0-based alphabetical ordinal."""
+    values = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("_one", F.lit(1))
+    return running_total(values, column, "_one", "_upto").select(column, (F.col("_upto") - 1).cast("int").alias(label))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from hazelake.operators.series import running_total
 
 
 def ntz(value) -> Column:
@@ -42,25 +44,18 @@ def ordered_split(df: DataFrame, ts: str, tiebreak: str, test_share: float = 0.2
     """Last ``ceil(test_share * n)`` rows in (ts, tiebreak) order are the test part.
 
     No row is ranked against all others. Counts per moment locate the moment the cut falls in and
-    counts per tiebreak value inside it the exact row; both tables have one row per distinct key.
+    counts per tiebreak value inside it the exact row; both are summed up in ranges.
     """
-    per_moment = df.groupBy(ts).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    placed = per_moment.select(
-        ts,
-        "_n",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy()).alias("_total"),
-    ).withColumn("_train", F.col("_total") - F.ceil(F.col("_total") * test_share))
+    per_moment = running_total(df.groupBy(ts).agg(F.count(F.lit(1)).alias("_n")), ts, "_n", "_upto")
+    total = per_moment.select(F.sum("_n")).scalar()
+    placed = per_moment.withColumns({"_before": F.col("_upto") - F.col("_n"), "_train": total - F.ceil(total * test_share)})
     cut = placed.where("_before <= _train AND _before + _n > _train").select(
         F.col(ts).alias("_cut_ts"), (F.col("_train") - F.col("_before")).alias("_left")
     )
     cut_ts, left = cut.select("_cut_ts").scalar(), cut.select("_left").scalar()
     inside = df.where(F.col(ts) == cut_ts).groupBy(tiebreak).agg(F.count(F.lit(1)).alias("_n"))
-    running = F.sum("_n").over(Window.orderBy(tiebreak).rowsBetween(Window.unboundedPreceding, 0))
-    first_test = (
-        inside.withColumn("_upto", running).where(F.col("_upto") > left).select(F.min(tiebreak)).scalar()
-    )
+    upto = running_total(inside, tiebreak, "_n", "_upto")
+    first_test = upto.where(F.col("_upto") > left).select(F.min(tiebreak)).scalar()
     is_train = (F.col(ts) < cut_ts) | ((F.col(ts) == cut_ts) & (F.col(tiebreak) < first_test))
     return df.withColumn(name, F.when(is_train, F.lit("train")).otherwise(F.lit("test")))
 

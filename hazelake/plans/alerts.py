@@ -37,6 +37,12 @@ def asof_latest(frame: DataFrame, now, extra=()) -> DataFrame:
     )
 
 
+def latest_of(frame: DataFrame, now, column: str) -> DataFrame:
+    """Per station the value of its last row up to ``now``."""
+    past = frame.where(F.col("Datetime") <= ntz(now))
+    return past.groupBy("Province").agg(F.max_by(column, "Datetime").alias(column))
+
+
 def forecast_rows(frame: DataFrame, now, n: int = WEEK_ROWS) -> DataFrame:
     """First ``n`` rows after ``now`` per station."""
     ahead = frame.where(F.col("Datetime") > ntz(now))

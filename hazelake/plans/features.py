@@ -26,6 +26,7 @@ from hazelake.operators.series import (
     BLOCK_ROWS,
     block_window,
     from_blocks,
+    hourly_span,
     Rolling,
     add_columns,
     label_encode,
@@ -145,8 +146,7 @@ def _encoding_by_block(panel: DataFrame, encoding: DataFrame, block: int, spacin
     another exchange.
     """
     if spacing == "hourly":
-        position = S.hour_index("Datetime")
-        first, last = F.min(position), F.max(position)
+        first, last = hourly_span("Datetime")
     else:
         first, last = F.lit(0), F.count(F.lit(1)) - 1
     spans = panel.groupBy("Province").agg(
@@ -198,7 +198,8 @@ def merge_sources(weather: DataFrame, pm25: DataFrame, daily: DataFrame, block:
     times. Here the three tables are cut into the same blocks and stacked, one exchange brings
     a block together, and its sort order places each reading right before its hour and each day's
     fires before the hours of the day. Keys have to be unique, as they are after
-    ``history_wins``; weather has to have a row for every hour.
+    ``history_wins``, and weather has to have a row for every hour. A repeated reading or hour raises here, a missing
+    hour where the encodings are laid out (``hourly_span``).
     """
     kinds = {"fires": 0, "reading": 1, "hour": 2}
     fires = F.struct("date", *[F.col(c).cast("double").alias(c) for c in FIRE_COLUMNS])
@@ -221,8 +222,10 @@ def merge_sources(weather: DataFrame, pm25: DataFrame, daily: DataFrame, block:
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = {c: F.lag(c).over(w) for c in ("Datetime", "_kind", "PM25")}
     same_hour = (before["Datetime"] == F.col("Datetime")) & (before["_kind"] == kinds["reading"])
+    again = (before["Datetime"] == F.col("Datetime")) & (before["_kind"] == F.col("_kind"))
+    twice = F.raise_error(F.lit("a station has an hour, a reading or a day's fires twice")).cast("double")
     placed = stacked.withColumns({
-        "PM25": F.when(same_hour, before["PM25"]),
+        "PM25": F.when(again, twice).when(same_hour, before["PM25"]),
         "_fires": F.last("_fires", ignorenulls=True).over(upto),
     }).where(F.col("_kind") == kinds["hour"])
     same_day = F.col("_fires.date") == F.to_date("Datetime")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazelake.constants import FEATURE_DISPLAY_NAMES, FEATURES
+from hazelake.constants import FEATURES, display_name
 from hazelake.functions.scalar import clip_at_zero
 from hazelake.functions.trees import Ensemble
 from hazelake.operators.splits import complete_cases
@@ -28,17 +28,20 @@ PATIENCE = 50
 
 @dataclass(frozen=True)
 class Fitted:
+    """``rounds`` is the prefix that scores, forecasts and explains; all rounds if it is not given."""
+
     model: GBTRegressionModel
     ensemble: Ensemble
     features: list[str] = field(default_factory=lambda: list(FEATURES))
+    rounds: int | None = None
 
 
 def assemble(df: DataFrame, features=FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def fit(train: DataFrame, label: str = "PM25", features=FEATURES, **params) -> Fitted:
-    """Fit on rows that have every feature and the label.
+def fit(train: DataFrame, label: str = "PM25", features=FEATURES, most_rows: int | None = None, **params) -> Fitted:
+    """Fit on rows that have every feature and the label; on ``most_rows`` of them, drawn by hash, if that is given.
 
     The rows are written once and read back: boosting scans them in every round, and a lost
     executor then rereads files instead of recomputing all windows.
@@ -46,6 +49,8 @@ def fit(train: DataFrame, label: str = "PM25", features=FEATURES, **params) -> F
     spark = train.sparkSession
     shared_folder(spark)  # tree growing checkpoints below it
     rows = complete_cases(train, [*features, label]).select(*features, F.col(label).alias("label"))
+    if most_rows is not None:
+        rows = rows.orderBy(F.xxhash64(*rows.columns), "label").limit(most_rows)
     path = fresh_path(spark, "training-rows")
     rows.write.parquet(path)
     settings = {**FULL_PARAMS, **params}
@@ -87,7 +92,8 @@ def _read_nodes(spark: SparkSession, path: str, weights) -> Ensemble:
 
 
 def score(df: DataFrame, fitted: Fitted, trees: int | None = None, name: str = "predicted", clip: bool = True) -> DataFrame:
-    """Predictions of the first ``trees`` rounds (all by default), clipped at zero."""
+    """Predictions of the first ``trees`` rounds (by default those chosen, else all), clipped at zero."""
+    trees = trees or fitted.rounds
     if trees is None:
         scored = fitted.model.transform(assemble(df, fitted.features)).drop("features")
         scored = scored.withColumnRenamed("prediction", name)
@@ -102,14 +108,20 @@ def score(df: DataFrame, fitted: Fitted, trees: int | None = None, name: str = "
     return scored.withColumn(name, clip_at_zero(name)) if clip else scored
 
 
-def learning_curve(fitted: Fitted, train: DataFrame, validation: DataFrame, label: str = "PM25", patience: int = PATIENCE) -> DataFrame:
-    """MAE per round on both parts, the best round marked."""
+def _errors(fitted: Fitted, df: DataFrame, label: str) -> list[float]:
+    rows = complete_cases(df, [*fitted.features, label]).withColumn("label", F.col(label))
+    return fitted.model.evaluateEachIteration(assemble(rows, fitted.features), "absolute")
+
 
-    def errors(df):
-        rows = complete_cases(df, [*fitted.features, label]).withColumn("label", F.col(label))
-        return fitted.model.evaluateEachIteration(assemble(rows, fitted.features), "absolute")
+def early_stopped(fitted: Fitted, validation: DataFrame, label: str = "PM25", patience: int = PATIENCE) -> Fitted:
+    """The same model, cut to the rounds that are best on the validation rows."""
+    rounds = best_round(_errors(fitted, validation, label), patience) + 1
+    return replace(fitted, ensemble=fitted.ensemble.first(rounds), rounds=rounds)
 
-    on_train, on_validation = errors(train), errors(validation)
+
+def learning_curve(fitted: Fitted, train: DataFrame, validation: DataFrame, label: str = "PM25", patience: int = PATIENCE) -> DataFrame:
+    """MAE per round on both parts, the best round marked."""
+    on_train, on_validation = _errors(fitted, train, label), _errors(fitted, validation, label)
     best = best_round(on_validation, patience)
     rows = [
         (i + 1, float(a), float(b), i == best) for i, (a, b) in enumerate(zip(on_train, on_validation))
@@ -132,7 +144,7 @@ def best_round(errors, patience: int = PATIENCE) -> int:
 def feature_importance(fitted: Fitted, n: int = 20) -> DataFrame:
     """Normalised gain per feature, the ``n`` largest, with the kind of signal they carry."""
     gains = np.asarray(fitted.model.featureImportances.toArray())
-    rows = [(f, FEATURE_DISPLAY_NAMES.get(f, f), float(g)) for f, g in zip(fitted.features, gains)]
+    rows = [(f, display_name(f), float(g)) for f, g in zip(fitted.features, gains)]
     spark = SparkSession.getActiveSession()
     table = spark.createDataFrame(rows, "feature string, display string, importance double")
     kind = (

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "hazelake", **conf: str) -> SparkSession:
@@ -55,6 +55,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, so that two readers see the same ones."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession) -> None:
     """Remove this application's written tables, once nothing reads them any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))

@@ -95,3 +95,28 @@ def test_clip_and_cyclic(spark):
     sin, cos = S.cyclic(F.lit(6), 24)
     r = spark.range(1).select(sin.alias("s"), cos.alias("c")).first()
     assert r.s == pytest.approx(1.0) and r.c == pytest.approx(0.0, abs=1e-12)
+
+
+def test_fires_of_all_places_are_ranked_as_by_brute_force(spark):
+    import math
+    import random
+
+    from hazelake.operators import fires
+
+    rng = random.Random(6)
+    at = lambda: (rng.uniform(17, 21), rng.uniform(97, 102))
+    burning = [(*at(), rng.choice([0.0, 1.5, 4.0, 300.0 * rng.random() ** 6]), None) for _ in range(400)] + [(18.2, 99.1, None, None), (50.0, -170.0, 5000.0, None)]
+    places = [(f"p{i}", *at(), rng.uniform(0, 360)) for i in range(12)] + [("far", -40.0, 179.9, 10.0)]
+    hotspots = spark.createDataFrame(burning, "latitude double, longitude double, frp double, acq_date date")
+    got = fires.priority_top_of_all(hotspots, spark.createDataFrame(places, "Province string, lat double, lon double, wind double"), 5).collect()
+
+    def score(lat, lon, wind, y, x, frp):
+        a = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2
+        dist = 2 * 6371 * math.asin(math.sqrt(min(max(a, 0), 1)))
+        turn = abs((math.degrees(math.atan2(x - lon, y - lat)) % 360 - wind + 180) % 360 - 180)
+        return max(frp, 0) * (0.5 + (1 + math.cos(math.radians(turn))) / 2) / (dist + 10)
+
+    for name, lat, lon, wind in places:
+        want = sorted((score(lat, lon, wind, y, x, f) for y, x, f, _ in burning if f is not None), reverse=True)[:5]
+        have = [r.priority for r in sorted(got, key=lambda r: r["rank"]) if r.Province == name]
+        assert len(have) == 5 and all(abs(a - b) < 1e-9 for a, b in zip(have, want)), name
