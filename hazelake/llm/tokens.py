@@ -17,8 +17,11 @@ which no token can reach, whole in effect. Further columns stay out of the way.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,8 @@ from hazelake.llm.common import whole_text, written
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 18
-BATCH_BYTES = 1 << 22
-CACHED_WORDS = 300_000
+BATCH_BYTES = 1 << 21
+CACHED_WORDS = 250_000
 LONG_WORD = 64
 
 _RAW = pa.schema([
@@ -49,48 +52,64 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 # ------------------------------------------------------------------ text to ids
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: b for b in printed} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class WordTokenizer:
-    """Ids of texts, word by word, with the ids of frequent words kept.
+    """Ids of texts, word by word, with the ids of words that come again kept.
 
     The pre-tokenizer starts a new token at a space unless white space stands in front of it, and no merge
     reaches over that. So texts are cut there and each piece is encoded once. Where a space is followed by
-    more white space, a stricter cut is used: only at spaces behind something else.
+    more white space, a stricter cut is used: only at spaces behind something else. A piece of plain letters is
+    one pre-token and goes to the library's model as it is; other pieces go through its pre-tokenizer first.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        from tokenizers import Tokenizer, models
+
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        if given["normalizer"] or given["pre_tokenizer"]["type"] != "ByteLevel" or given["model"]["type"] != "BPE":
+            raise ValueError(f"not a byte-level BPE tokenizer: {path}")
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in given["model"]["merges"]]
+        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.merge = models.BPE(vocab=given["model"]["vocab"], merges=merges, cache_capacity=0).tokenize
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
         self.odd = re.compile(r" \s")
         self.cut = re.compile(r"(?<=\S) ")
+        # letters of the first blocks, on which all versions of Unicode agree
+        self.plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def encode_piece(self, piece: str, space: str = " ") -> bytes:
+        if self.plain(piece):
+            shown = [(space + piece).encode().decode("latin-1").translate(self.letters)]
+        else:
+            shown = [s for s, _ in self.split(space + piece)]
+        return array("I", [t.id for s in shown for t in self.merge(s)]).tobytes()
 
     def pieces(self, text: str) -> list[str]:
         return self.cut.split(text) if self.odd.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Native-endian 32-bit ids of each text."""
         cut = [self.pieces(t) for t in texts]
-        firsts = self._encode([p[0] for p in cut])
-        rest = set().union(*[p[1:] for p in cut])
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in rest if w not in self.known]
-        ids = dict(zip(new, self._encode([f" {w}" for w in new])))
-        for w, b in ids.items():
-            if len(w) <= LONG_WORD:
-                self.known[w] = b
-        long = {w: b for w, b in ids.items() if len(w) > LONG_WORD}
-        get = (lambda w: long.get(w) or self.known[w]) if long else self.known.__getitem__
-        return [first + b"".join(map(get, p[1:])) for first, p in zip(firsts, cut)]
+        firsts = [self.encode_piece(p.pop(0), "") for p in cut]
+        words = set().union(*cut)
+        if len(self.known) > CACHED_WORDS:  # words that came once are let go
+            self.known = {w: self.known[w] for w in self.again} if len(self.again) < CACHED_WORDS // 2 else {}
+            self.again = set()
+        self.again |= words & self.known.keys()
+        here = {w: self.encode_piece(w) for w in words - self.known.keys()}
+        self.known |= {w: b for w, b in here.items() if len(w) <= LONG_WORD}
+        get = self.known.__getitem__ if all(map(self.known.__contains__, here)) else (lambda w: here[w] if w in here else self.known[w])
+        return [first + b"".join(map(get, p)) for first, p in zip(firsts, cut)]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
