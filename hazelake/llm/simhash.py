@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, column: str = "text") -> DataFrame:
     """One document of each component, columns as they came: the one with the least id, then the least hash of all columns."""
     row = free_name(docs, "row")
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression="zstd")
     marked = near_duplicates(numbered.select(F.col(row).alias("doc_id"), F.col(column).alias("text")), shingle, radius)
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), F.xxhash64(*[c for c in docs.columns if c != "doc_id"]), row)
     keyed = numbered.select(F.col(row).alias("_row"), order.alias("_order"))
