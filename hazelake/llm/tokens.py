@@ -34,7 +34,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 18
 BATCH_BYTES = 1 << 21
-CACHED_WORDS = 250_000
+CACHED_WORDS = 350_000
 LONG_WORD = 64
 
 _RAW = pa.schema([
@@ -59,13 +59,27 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in printed} | {b: 256 + i for i, b in enumerate(others)}
 
 
+class _Generation(dict):
+    """Ids of words; one that is missing comes from the generation before, or is encoded."""
+
+    def __init__(self, encode, before: dict):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word) or self.encode(word)
+        if len(word) <= LONG_WORD:
+            self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of texts, word by word, with the ids of words that come again kept.
 
     The pre-tokenizer starts a new token at a space unless white space stands in front of it, and no merge
     reaches over that. So texts are cut there and each piece is encoded once. Where a space is followed by
-    more white space, a stricter cut is used: only at spaces behind something else. A piece of plain letters is
-    one pre-token and goes to the library's model as it is; other pieces go through its pre-tokenizer first.
+    more white space, a stricter cut is used: only at spaces behind something else. Plain letters are one
+    pre-token, punctuation behind them another, and both go to the library's model as they are; other pieces
+    go through its pre-tokenizer first.
     """
 
     def __init__(self, path: str):
@@ -80,36 +94,43 @@ class WordTokenizer:
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.merge = models.BPE(vocab=given["model"]["vocab"], merges=merges, cache_capacity=0).tokenize
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.space = chr(self.letters[0x20])
+        self.known = _Generation(self.encode_piece, {})
         self.odd = re.compile(r" \s")
         self.cut = re.compile(r"(?<=\S) ")
-        # letters of the first blocks, on which all versions of Unicode agree
-        self.plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+        # letters of the first blocks, on which all versions of Unicode agree; no apostrophe, which may belong to letters
+        self.plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+
+    def _ids(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
     def encode_piece(self, piece: str, space: str = " ") -> bytes:
-        if self.plain(piece):
-            shown = [(space + piece).encode().decode("latin-1").translate(self.letters)]
-        else:
-            shown = [s for s, _ in self.split(space + piece)]
-        return array("I", [t.id for s in shown for t in self.merge(s)]).tobytes()
+        m = self.plain(piece)
+        if m is None:
+            return b"".join([self._ids(s) for s, _ in self.split(space + piece)])
+        letters, tail = m.groups()
+        if tail:
+            return (self.known[letters] if space else self.encode_piece(letters, "")) + self._ids(tail)
+        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+        return self._ids(self.space + shown if space else shown)
 
     def pieces(self, text: str) -> list[str]:
-        return self.cut.split(text) if self.odd.search(text) else text.split(" ")
+        if text.isascii():
+            odd = any(x in text for x in ("  ", " \n", " \t", " \r")) or any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f")
+        else:
+            odd = self.odd.search(text)
+        return self.cut.split(text) if odd else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Native-endian 32-bit ids of each text."""
-        cut = [self.pieces(t) for t in texts]
-        firsts = [self.encode_piece(p.pop(0), "") for p in cut]
-        words = set().union(*cut)
-        if len(self.known) > CACHED_WORDS:  # words that came once are let go
-            self.known = {w: self.known[w] for w in self.again} if len(self.again) < CACHED_WORDS // 2 else {}
-            self.again = set()
-        self.again |= words & self.known.keys()
-        here = {w: self.encode_piece(w) for w in words - self.known.keys()}
-        self.known |= {w: b for w, b in here.items() if len(w) <= LONG_WORD}
-        get = self.known.__getitem__ if all(map(self.known.__contains__, here)) else (lambda w: here[w] if w in here else self.known[w])
-        return [first + b"".join(map(get, p)) for first, p in zip(firsts, cut)]
+        out = []
+        for text in texts:
+            pieces = self.pieces(text)
+            first = self.encode_piece(pieces.pop(0), "")
+            if len(self.known) > CACHED_WORDS:
+                self.known = _Generation(self.encode_piece, dict(self.known))
+            out.append(first + b"".join(map(self.known.__getitem__, pieces)))
+        return out
 
 
 _LOADED: dict[str, WordTokenizer] = {}
