@@ -36,6 +36,7 @@ BLOCK_IDS = 1 << 18
 BATCH_BYTES = 1 << 21
 CACHED_WORDS = 350_000
 LONG_WORD = 64
+CACHED_TAILS = 10_000
 
 _RAW = pa.schema([
     ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()),
@@ -77,9 +78,13 @@ class WordTokenizer:
 
     The pre-tokenizer starts a new token at a space unless white space stands in front of it, and no merge
     reaches over that. So texts are cut there and each piece is encoded once. Where a space is followed by
-    more white space, a stricter cut is used: only at spaces behind something else. Plain letters are one
-    pre-token, punctuation behind them another, and both go to the library's model as they are; other pieces
-    go through its pre-tokenizer first.
+    more white space, a stricter cut is used: only at spaces behind something else. A line feed without
+    other white space beside it, save one space behind it, is a token of its own, so texts are cut there too.
+
+    Pieces are keyed by what they begin with: a line feed that was cut at, white space that belongs to the piece
+    and is encoded as it stands, or anything else, which follows a space. Plain letters are one pre-token,
+    punctuation behind them another, and both go to the library's model as they are; other pieces go
+    through its pre-tokenizer first.
     """
 
     def __init__(self, path: str):
@@ -96,7 +101,10 @@ class WordTokenizer:
         self.letters = _byte_letters()
         self.space = chr(self.letters[0x20])
         self.known = _Generation(self.encode_piece, {})
+        self.tails: dict[str, bytes] = {}
+        self.feed = self._ids(chr(self.letters[0x0A]))
         self.odd = re.compile(r" \s")
+        self.odd_feed = re.compile(r"\n(?:[^\S ]|(?<=\s\n)| \Z)")
         self.cut = re.compile(r"(?<=\S) ")
         # letters of the first blocks, on which all versions of Unicode agree; no apostrophe, which may belong to letters
         self.plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
@@ -104,22 +112,40 @@ class WordTokenizer:
     def _ids(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self._ids(marks)
+            if len(self.tails) < CACHED_TAILS and len(marks) <= LONG_WORD:
+                self.tails[marks] = ids
+        return ids
+
     def encode_piece(self, piece: str, space: str = " ") -> bytes:
+        if space and piece[:1] == "\n":
+            return self.feed + self.encode_piece(piece[1:], "")
         m = self.plain(piece)
         if m is None:
+            if piece[:1].isspace():
+                space = ""
             return b"".join([self._ids(s) for s, _ in self.split(space + piece)])
         letters, tail = m.groups()
         if tail:
-            return (self.known[letters] if space else self.encode_piece(letters, "")) + self._ids(tail)
+            return (self.known[letters] if space else self.encode_piece(letters, "")) + self._tail(tail)
         shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
         return self._ids(self.space + shown if space else shown)
 
     def pieces(self, text: str) -> list[str]:
+        """The first piece, which follows nothing, and the keys of the others."""
         if text.isascii():
             odd = any(x in text for x in ("  ", " \n", " \t", " \r")) or any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f")
         else:
             odd = self.odd.search(text)
-        return self.cut.split(text) if odd else text.split(" ")
+        if odd:
+            first, *others = self.cut.split(text)
+            return [first, *(" " + p if p[:1].isspace() else p for p in others)]
+        if "\n" in text and not self.odd_feed.search(text):
+            text = text.replace("\n", " \n")
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Native-endian 32-bit ids of each text."""

@@ -244,6 +244,15 @@ def test_words_give_the_ids_of_whole_texts(library, text):
     assert np.frombuffer(cut, "<u4").tolist() == library(text)
 
 
+def test_white_space_beside_line_feeds_encodes_like_the_library(library):
+    draw = random.Random(5)
+    parts = ["a", "The", "été", "\n", "\n", " ", " ", "\t", "\r", "\x0b", "\x1c", "\u0085", "\u00a0", "\u3000", "\u200b", "'s", "1", ".", "!?", "日"]
+    words = tokens.loaded(tokens.tokenizer_path())
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(5_000)]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text), repr(text)
+
+
 def test_files_hold_all_documents_in_order(spark, docs, none, library, tmp_path):
     folder = str(tmp_path / "ids")
     tokens.write(docs, folder)
