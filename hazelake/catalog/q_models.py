@@ -93,7 +93,8 @@ def attribution(t):
 
 @query("attribution_summary")
 def attribution_summary(t):
-    return explain.mean_absolute(attribution(t)).orderBy(F.desc("mean_abs"))
+    rows, fitted = _attributed(t)
+    return explain.mean_absolute(rows, fitted.features).orderBy(F.desc("mean_abs"))
 
 
 @query("attribution_top_factors")

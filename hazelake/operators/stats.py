@@ -189,11 +189,10 @@ def linear_trend(y, x) -> list[Column]:
 def density_curves(df: DataFrame, key: str, column: str, points: int = 100) -> DataFrame:
     """Gaussian kernel density per key on an even grid between its extremes, with the median.
 
-    Equal readings are counted first, then each distinct one is spread over the grid and summed
-    again in the same stage, so what is shuffled is one row per key and grid point.
+    Each reading adds to one sum per grid point where it is read, so no reading is copied per point,
+    and what is shuffled is one row of sums per key and task.
     """
-    data = df.where(F.col(column).isNotNull())
-    counted = data.groupBy(key, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    data = df.where(F.col(column).isNotNull()).select(key, column)
     scale = data.groupBy(key).agg(
         F.count(column).cast("double").alias("_n"),
         F.min(column).alias("_lo"),
@@ -203,13 +202,14 @@ def density_curves(df: DataFrame, key: str, column: str, points: int = 100) -> D
     scale = scale.where("_sd > 0").select(
         key, "_n", "_lo", "_hi", (F.pow(F.col("_n"), F.lit(-0.2)) * F.col("_sd")).alias("_h")
     )
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
-    spread = lookup(counted, scale, key, "inner").select("*", grid)
     at = F.col("_lo") + F.col("point") * step
-    gap = (at - F.col("_v")) / F.col("_h")
-    kernel = F.col("_c") * F.exp(gap * gap * F.lit(-0.5))
-    sums = spread.groupBy(key, "point").agg(F.sum(kernel).alias("_k"))
+    placed = lookup(data, scale, key, "inner").select(
+        key, ((F.col("_lo") - F.col(column)) / F.col("_h")).alias("_from"), (step / F.col("_h")).alias("_by")
+    )
+    gaps = [F.col("_from") + F.lit(float(i)) * F.col("_by") for i in range(points)]
+    wide = placed.groupBy(key).agg(*[F.sum(F.exp(g * g * F.lit(-0.5))).alias(f"_k{i}") for i, g in enumerate(gaps)])
+    sums = wide.select(key, F.posexplode(F.array(*[f"_k{i}" for i in range(points)])).alias("point", "_k"))
     medians = exact_quantiles(data, key, column, {"median": 0.5})
     curve = sums.join(scale, key).join(medians, key)
     norm = F.col("_n") * F.col("_h") * F.sqrt(F.lit(S.TWO_PI))

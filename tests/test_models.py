@@ -201,3 +201,10 @@ def test_scaler(spark):
     scaler = model.fit_scaler(df, ["a", "b"])
     assert {(r.feature, r["mean"], r.scale) for r in scaler.collect()} == {("a", 2.0, 1.0), ("b", 5.0, 1.0)}
     assert [tuple(r) for r in model.apply_scaler(df, scaler, ["a", "b"]).collect()] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_mean_contributions_per_feature(spark):
+    rows = spark.createDataFrame([([1.0, -2.0],), ([-3.0, 0.0],)], "contributions array<double>")
+    got = {r.feature: (r.mean_abs, r["mean"], r.n) for r in explain.mean_absolute(rows, ["a", "b"]).collect()}
+    assert got == {"a": (2.0, -1.0, 2), "b": (1.0, -1.0, 2)}
+    assert explain.mean_absolute(rows.where("false"), ["a", "b"]).isEmpty()
