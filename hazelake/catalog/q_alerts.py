@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hazelake.catalog.q_tables import LINEAR, SERVING, serving_frame as serving
+from hazelake.catalog.q_tables import LINEAR, SERVING, batch_tables, daily_batch_linear as batch, serving_frame as serving
 from hazelake.catalog.register import query
 from hazelake.catalog.tables import NOW
 from hazelake.constants import AUDIENCE_THRESHOLDS, RISK_LEVELS
@@ -50,26 +50,36 @@ def forecast_daily_summary(t):
     return alerts.daily_summary(forecast_part(t))
 
 
+# ------------------------------------------------------------------ what the daily batch's forecast warns of
+WEEK_AHEAD = f"SELECT Province, Datetime, Predicted_PM25 AS predicted FROM steps WHERE Datetime > TIMESTAMP '{NOW}'"
+
+
+def week_ahead(t):
+    return alerts.forecast_rows(batch(t), NOW)
+
+
 @query(
     "forecast_peak",
     "Province peak_ts peak~",
-    """SELECT Province, Datetime AS peak_ts, PM25 AS peak FROM (SELECT *, row_number() OVER (
-      PARTITION BY Province ORDER BY PM25 DESC, Datetime) AS rn FROM pm25) WHERE rn = 1""",
+    f"""SELECT Province, Datetime AS peak_ts, predicted AS peak FROM (SELECT *, row_number() OVER (
+      PARTITION BY Province ORDER BY predicted DESC, Datetime) AS rn FROM ({WEEK_AHEAD}) AS w) AS x WHERE rn = 1""",
+    **batch_tables(NOW),
 )
 def forecast_peak(t):
-    return alerts.forecast_peak(t.pm25, "PM25")
+    return alerts.forecast_peak(week_ahead(t))
 
 
 @query(
     "audience_alerts",
     "Province peak~ audience is_alert",
     " UNION ALL ".join(
-        f"SELECT Province, max(PM25) AS peak, '{a}' AS audience, coalesce(max(PM25) > {b}e0, FALSE) AS is_alert FROM pm25 GROUP BY 1"
+        f"SELECT Province, max(predicted) AS peak, '{a}' AS audience, coalesce(max(predicted) > {b}e0, FALSE) AS is_alert FROM ({WEEK_AHEAD}) AS w GROUP BY 1"
         for a, b in AUDIENCE_THRESHOLDS
     ),
+    **batch_tables(NOW),
 )
 def audience_alerts(t):
-    return alerts.audience_table(alerts.forecast_peak(t.pm25, "PM25"), "peak")
+    return alerts.audience_table(alerts.forecast_peak(week_ahead(t)), "peak")
 
 
 @query(

@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from hazelake.catalog.q_features import training_features
-from hazelake.catalog.q_tables import LINEAR
+from hazelake.catalog.q_tables import BATCH_COLUMNS, LINEAR, batch_serving, batch_tables
 from hazelake.catalog.register import query
 from hazelake.catalog.tables import NOW, TRAIN_END, VALIDATION_END
 from hazelake.constants import FEATURES
 from hazelake.functions.trees import Ensemble
 from hazelake.operators import splits, stats
 from hazelake.operators.series import keep_first
-from hazelake.plans import explain, forecast, model
+from hazelake.plans import alerts, explain, forecast, model
 from hazelake.plans.features import target_encoding
 from hazelake.session import fresh_path
 
@@ -66,12 +66,16 @@ def feature_importance(t):
     return model.feature_importance(prepared(t)[1])
 
 
+def _stepped(t, fitted):
+    inputs = forecast.recursive_inputs(t.batch(), target_encoding(t.weather, TRAIN_END, readings=t.pm25), spacing="hourly")
+    return forecast.forecast_recursive(inputs, fitted)
+
+
 @query("forecast_recursive")
 def forecast_recursive(t):
+    """Hours after the last reading, from what the daily batch knows: forecast weather, recent means of fires."""
     _, fitted = prepared(t)
-    window = forecast.forecast_window(t.upto_now, NOW)
-    inputs = forecast.recursive_inputs(window, target_encoding(t.weather, TRAIN_END, readings=t.pm25), spacing="hourly")
-    return forecast.forecast_recursive(inputs, fitted)
+    return _stepped(t, fitted)
 
 
 @query("forecast_snapshot")
@@ -188,11 +192,7 @@ def attribution_fixed_trees(t):
     return long.where(F.col("feature").isin(FIXED_FEATURES))
 
 
-@query(
-    "forecast_fixed_trees",
-    "Province Datetime Predicted_PM25~",
-    "SELECT Province, Datetime, p1 AS Predicted_PM25 FROM tree_steps WHERE n > 0",
-    **{k: LINEAR[k] for k in ("recent", "ahead")},
+TREE_STEPS = dict(
     tree_start="""SELECT r.Province, r.Datetime, r.PM25 AS p1, r.p2, r.p3 FROM (SELECT *,
       lag(PM25, 1) OVER (PARTITION BY Province ORDER BY Datetime) AS p2,
       lag(PM25, 2) OVER (PARTITION BY Province ORDER BY Datetime) AS p3 FROM recent) AS r
@@ -201,7 +201,28 @@ def attribution_fixed_trees(t):
       SELECT a.Province, a.n, a.Datetime, {_fixed_score('s.p1', 'a.temperature_2m', '((s.p1 + coalesce(s.p2, 0) + coalesce(s.p3, 0)) / (1e0 + (s.p2 IS NOT NULL)::INT + (s.p3 IS NOT NULL)::INT))')},
         s.p1, s.p2 FROM tree_steps s JOIN ahead a ON a.Province = s.Province AND a.n = s.n + 1""",
 )
+
+
+@query(
+    "forecast_fixed_trees",
+    "Province Datetime Predicted_PM25~",
+    "SELECT Province, Datetime, p1 AS Predicted_PM25 FROM tree_steps WHERE n > 0",
+    **{k: LINEAR[k] for k in ("recent", "ahead")},
+    **TREE_STEPS,
+)
 def forecast_fixed_trees(t):
     window = forecast.forecast_window(t.upto_now, NOW)
     inputs = forecast.recursive_inputs(window, target_encoding(t.weather, TRAIN_END, readings=t.pm25), spacing="hourly")
     return forecast.forecast_recursive(inputs, fixed_trees())
+
+
+@query(
+    "daily_batch_fixed_trees",
+    BATCH_COLUMNS,
+    batch_serving("(SELECT Province, Datetime, p1 AS Predicted_PM25 FROM tree_steps WHERE n > 0)"),
+    **{k: v for k, v in batch_tables(NOW).items() if k != "steps"},
+    **TREE_STEPS,
+)
+def daily_batch_fixed_trees(t):
+    """The daily batch from sources to the serving frame, with a tree model."""
+    return alerts.serving_frame(t.batch(), _stepped(t, fixed_trees()), NOW)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hazelake import schemas
+from hazelake.catalog.ctes import with_tables
 from hazelake.catalog.register import query
 from hazelake.catalog.tables import NOW, TRAIN_END, VALIDATION_END
 from hazelake.constants import BBOX_ARCHIVE, BBOX_DAILY, FEATURES, FIRE_COLUMNS, WEATHER_COLUMNS
@@ -478,3 +479,67 @@ SERVING = f"""SELECT u.Province, u.Datetime, coalesce(u.PM25, s.Predicted_PM25)
 @query("serving_frame", "Province Datetime PM25~ temperature_2m~ hotspot_count~ frp_sum~ predicted~", SERVING, **LINEAR)
 def serving_frame(t):
     return alerts.serving_frame(t.upto_now, linear_forecast(t), NOW)
+
+
+# ------------------------------------------------------------------ the daily batch, from sources to serving frame
+BATCH_COLUMNS = "Province Datetime PM25~ temperature_2m~ hotspot_count~ frp_sum~ frp_mean~ predicted~"
+
+
+def batch_tables(now: str) -> dict[str, str]:
+    """``recent`` as the batch knows it at ``now``, and the linear steps from there."""
+    at = f"TIMESTAMP '{now}'"
+    return LINEAR | {
+        "known": f"SELECT * FROM daily WHERE date <= CAST({at} AS DATE)",
+        "stacked": f"""SELECT Province, Datetime, PM25, temperature_2m, 0 AS later FROM observed
+          WHERE Datetime BETWEEN {at} - INTERVAL 10 DAY AND {at} UNION ALL
+          SELECT Province, Datetime, NULL, temperature_2m + 1, 1 FROM weather
+          WHERE Datetime BETWEEN {at} - INTERVAL 1 DAY AND {at} + INTERVAL 7 DAY""",
+        "once": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Province, Datetime ORDER BY later) AS rn
+          FROM stacked) AS s WHERE rn = 1""",
+        "recent": f"""SELECT o.PM25, o.temperature_2m, p.* FROM once o JOIN (
+          {PROXY.replace("FROM observed p", "FROM once p")}) AS p ON p.Province = o.Province AND p.Datetime = o.Datetime""",
+    }
+
+
+def batch_serving(steps: str = "steps") -> str:
+    return f"""SELECT r.Province, r.Datetime, coalesce(r.PM25, s.Predicted_PM25) AS PM25, r.temperature_2m,
+      r.hotspot_count, r.frp_sum, r.frp_mean, coalesce(r.PM25, s.Predicted_PM25) AS predicted
+      FROM recent r LEFT JOIN {steps} s ON s.Province = r.Province AND s.Datetime = r.Datetime"""
+
+
+def batch_forecast(t, now=NOW):
+    return forecast.forecast_linear(t.batch(now), 0.8, 0.05, "temperature_2m")
+
+
+@query("daily_batch_linear", BATCH_COLUMNS, batch_serving(), **batch_tables(NOW))
+def daily_batch_linear(t):
+    """History, forecast weather and fires to the frame that alerts read, with a linear model."""
+    return alerts.serving_frame(t.batch(), batch_forecast(t), NOW)
+
+
+DAY_BEFORE = "2024-01-23 00:00:00"
+SNAPSHOTS = {DAY_BEFORE: "2024-01-23 07:00", NOW: "2024-01-24 07:00"}
+
+
+def _snapshot_sql(now: str) -> str:
+    rows = with_tables(
+        "SELECT Province, last_ts AS predict_datetime, "
+        + ", ".join(f"max(CASE WHEN date_diff('hour', last_ts, Datetime) = {h} THEN Predicted_PM25 END) AS pred_{h}h" for h in HORIZONS)
+        + f", '{SNAPSHOTS[now]}' AS created_at FROM steps GROUP BY Province, last_ts",
+        batch_tables(now),
+    )
+    return f"SELECT * FROM ({rows}) AS s"
+
+
+@query(
+    "snapshot_history",
+    "Province predict_datetime " + " ".join(f"pred_{h}h~" for h in HORIZONS) + " created_at",
+    " UNION ALL ".join(map(_snapshot_sql, SNAPSHOTS)),
+)
+def snapshot_history(t):
+    """Snapshots of two days' batches in one table; the second day's batch is run twice and counts once."""
+    path = fresh_path(t.spark, "snapshots")
+    for now in (*SNAPSHOTS, NOW):
+        rows = forecast.horizon_snapshot(batch_forecast(t, now), SNAPSHOTS[now])
+        ingest.append_to_table(rows, path, "created_at", run=SNAPSHOTS[now][:10])
+    return ingest.read_appended(t.spark, path)

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hazelake.functions.scalar import floor_hour, hour_index
 from hazelake.operators import fires, geo, panel
 from hazelake.operators.lookup import lookup
+from hazelake.operators.splits import ntz
+from hazelake.plans.batch import batch_frame
+from hazelake.session import materialised
 
 NOW = "2024-01-24 00:00:00"
 TRAIN_END = "2024-01-20 23:00:00"
@@ -22,6 +25,7 @@ VALIDATION_END = "2024-01-25 23:00:00"
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._batches: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -143,3 +147,11 @@ class Tables:
         """The panel as it is known at NOW: later readings are unknown."""
         known = F.col("Datetime") <= F.lit(NOW).cast("timestamp_ntz")
         return self.panel.withColumn("PM25", F.when(known, F.col("PM25")))
+
+    def batch(self, now: str = NOW) -> DataFrame:
+        """What the daily batch knows at ``now``, written once; forecast weather is the actual one, a degree warmer."""
+        ahead = self.weather.where(F.col("Datetime") >= ntz(now) - F.expr("INTERVAL 1 DAY"))
+        warmer = ahead.withColumn("temperature_2m", F.col("temperature_2m") + 1)
+        if now not in self._batches:
+            self._batches[now] = materialised(batch_frame(self.observed, warmer, self.daily, now), "batch")
+        return self._batches[now]
