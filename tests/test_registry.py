@@ -1,4 +1,5 @@
 import os
+import re
 import sys
 
 import pytest
@@ -7,6 +8,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
+from hazelake.catalog.register import QUERIES  # noqa: E402
 from check import compare, connect  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,9 +33,20 @@ def test_entry_runs(spark):
     assert len(df.columns) == 72 and df.count() > 0
 
 
-def test_no_query_uses_a_cross_join(spark):
-    if not os.path.isdir(SMALL):
-        pytest.skip("no test tables")
-    for name in ("panel_profile", "densify_daily_grid", "hotspot_proxy_fill", "ordered_split", "histogram", "asof_latest"):
-        plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+def single_task_windows(plan: str) -> list[str]:
+    """Windows of a printed plan whose next exchange brings all rows into one task."""
+    lines, found = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if re.search(r"\bWindow \[", line):
+            below = next((x for x in lines[i + 1:] if "Exchange" in x), "")
+            if "SinglePartition" in below:
+                found.append(line.strip())
+    return found
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
+def test_no_plan_has_a_cross_join_or_a_window_in_one_task(spark, name):
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert not single_task_windows(plan)
