@@ -168,6 +168,11 @@ def loaded(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
+def forget() -> None:
+    """Give back what this worker keeps for tokenising, once all texts are tokenised."""
+    _LOADED.clear()
+
+
 def parts(text: str, size: int = BATCH_BYTES) -> Iterator[str]:
     """A long text in pieces of about ``size`` that start at a space behind a word."""
     at = 0
@@ -260,6 +265,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _counts(batches):
+    forget()
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for ids in batch.column(0):
@@ -274,13 +280,17 @@ def _counts(batches):
 
 
 def _coder(rank_of: np.ndarray):
+    """Blocks of ids to coded blocks, one at a time."""
+
     def run(batches):
+        forget()
         for batch in batches:
-            coded = [encode_ranks(rank_of[np.frombuffer(b.as_buffer(), "<u4")]) for b in batch.column(5)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                names=["shard", "block", "first", "doc_ids", "lengths", "control", "data"],
-            )
+            for block in map(batch.slice, range(batch.num_rows), [1] * batch.num_rows):
+                control, data = encode_ranks(rank_of[np.frombuffer(block.column(5)[0].as_buffer(), "<u4")])
+                yield pa.RecordBatch.from_arrays(
+                    [*block.columns[:5], pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                    names=["shard", "block", "first", "doc_ids", "lengths", "control", "data"],
+                )
 
     return run
 
@@ -302,36 +312,35 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     raw.mapInArrow(_coder(rank_of), _CODED_DDL).write.option("compression", "zstd").parquet(f"{folder}/ids")
 
 
-def _decoder(id_of: np.ndarray):
-    """Blocks back to a row per document: doc_id, shard, start in the shard, length, checksum, ids."""
+_DOCUMENT_DDL = "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
+
+
+def _decoder(id_of: np.ndarray, with_ids: bool):
+    """Blocks back to a row per document: doc_id, shard, start in the shard, length, checksum and, if asked for, ids."""
+    names = ["doc_id", "shard", "start", "n_tokens", "ids_crc32", "ids"][:6 if with_ids else 5]
 
     def run(batches):
         for batch in batches:
-            docs, shards, starts, lengths, sums, ids = [], [], [], [], [], []
-            for row in batch.to_pylist():
-                n = sum(row["lengths"])
-                whole = id_of[decode_ranks(row["control"], row["data"], n)].astype("<u4")
-                at = 0
-                for doc, size in zip(row["doc_ids"], row["lengths"]):
-                    own = whole[at:at + size].tobytes()
-                    docs.append(doc)
-                    shards.append(row["shard"])
-                    starts.append(row["first"] + at)
-                    lengths.append(size)
-                    sums.append(zlib.crc32(own))
-                    ids.append(own)
-                    at += size
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(shards, pa.int32()), pa.array(starts, pa.int64()),
-                 pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "shard", "start", "n_tokens", "ids_crc32", "ids"],
-            )
+            for block in map(batch.slice, range(batch.num_rows), [1] * batch.num_rows):
+                row = block.to_pylist()[0]
+                lengths = np.array(row["lengths"], dtype=np.int64)
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
+                whole = memoryview(id_of[decode_ranks(row["control"], row["data"], int(ends[-1]))].astype("<u4").tobytes())
+                own = [whole[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+                columns = [
+                    pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * len(own), pa.int32()), pa.array(row["first"] + starts),
+                    pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64()),
+                ]
+                if with_ids:
+                    columns.append(pa.array([bytes(x) for x in own], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of the folder: doc_id, start, n_tokens, ids_crc32, ids (little-endian 32-bit)."""
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """Documents of the folder: doc_id, start, n_tokens, ids_crc32 and ids (little-endian 32-bit), which may be left out."""
     blocks = spark.read.schema(_CODED_DDL).parquet(f"{folder}/ids")
     ranks = spark.read.parquet(f"{folder}/ranks").collect()  # a row per id of the vocabulary
     id_of = np.zeros(max(len(ranks), 1), dtype="<u4")
@@ -340,9 +349,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     sizes = blocks.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     offsets = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    docs = blocks.mapInArrow(_decoder(id_of), "doc_id long, shard int, start long, n_tokens long, ids_crc32 long, ids binary")
-    return docs.join(offsets, "shard").select("doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    docs = blocks.mapInArrow(_decoder(id_of, with_ids), _DOCUMENT_DDL + ", ids binary" * with_ids)
+    start = (F.col("offset") + F.col("start")).alias("start")
+    return docs.join(offsets, "shard").select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder).drop("ids")
+    return read(spark, folder, with_ids=False)
