@@ -76,6 +76,9 @@ class _Generation(dict):
 class WordTokenizer:
     """Ids of texts, word by word, with the ids of words that come again kept.
 
+    The file's added tokens come first, as in the library: texts are cut at them, each gives its own id, and what
+    stands between two is encoded as a text of its own.
+
     The pre-tokenizer starts a new token at a space unless white space stands in front of it, and no merge
     reaches over that. So texts are cut there and each piece is encoded once. Where a space is followed by
     more white space, a stricter cut is used: only at spaces behind something else. A line feed without
@@ -96,6 +99,12 @@ class WordTokenizer:
         if given["normalizer"] or given["pre_tokenizer"]["type"] != "ByteLevel" or given["model"]["type"] != "BPE":
             raise ValueError(f"not a byte-level BPE tokenizer: {path}")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in given["model"]["merges"]]
+        added = [t for t in given.get("added_tokens", ()) if t["content"]]
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added tokens that do not match as they stand: {path}")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.merge = models.BPE(vocab=given["model"]["vocab"], merges=merges, cache_capacity=0).tokenize
         self.letters = _byte_letters()
@@ -147,16 +156,29 @@ class WordTokenizer:
             text = text.replace("\n", " \n")
         return text.split(" ")
 
+    def segments(self, text: str) -> list[str]:
+        """The text cut at added tokens, each of which is a segment."""
+        if not any(token in text for token in self.added):
+            return [text]
+        return [s for s in self.at_added(text) if s]
+
+    def _encode_segment(self, text: str) -> bytes:
+        if text in self.added:
+            return self.added[text]
+        pieces = self.pieces(text)
+        first = self.encode_piece(pieces.pop(0), "")
+        if len(self.known) > CACHED_WORDS:
+            self.known = _Generation(self.encode_piece, dict(self.known))
+        return first + b"".join(map(self.known.__getitem__, pieces))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Native-endian 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            pieces = self.pieces(text)
-            first = self.encode_piece(pieces.pop(0), "")
-            if len(self.known) > CACHED_WORDS:
-                self.known = _Generation(self.encode_piece, dict(self.known))
-            out.append(first + b"".join(map(self.known.__getitem__, pieces)))
-        return out
+        return [b"".join(map(self._encode_segment, self.segments(text))) for text in texts]
+
+    def encode_long(self, text: str) -> bytes:
+        """Ids of a long text, encoded in pieces; added tokens stay whole."""
+        pieces = (p for s in self.segments(text) for p in ([s] if s in self.added else parts(s)))
+        return b"".join(map(self._encode_segment, pieces))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -205,7 +227,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
         def encoded(group):
             short = iter(words.encode([t for _, t in group if len(t) <= BATCH_BYTES]))
             for doc, text in group:
-                ids = next(short) if len(text) <= BATCH_BYTES else b"".join(b for p in parts(text) for b in words.encode([p]))
+                ids = next(short) if len(text) <= BATCH_BYTES else words.encode_long(text)
                 yield doc, ids + end
 
         def groups():

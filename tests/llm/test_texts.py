@@ -253,6 +253,30 @@ def test_white_space_beside_line_feeds_encodes_like_the_library(library):
         assert np.frombuffer(ids, "<u4").tolist() == library(text), repr(text)
 
 
+def test_added_tokens_keep_their_ids(spark, make, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.tokenizer_path())
+    expected = lambda text: whole.encode(text, add_special_tokens=False).ids
+    assert expected("x<|endoftext|>y") == [87, 50256, 88]
+    words = tokens.loaded(tokens.tokenizer_path())
+    draw = random.Random(7)
+    bits = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<|", "a", "The", " ", "  ", "\n", "1", ".", "'s", "é"]
+    texts = ["x<|endoftext|>y", "<|endoftext|>", " <|endoftext|> ", *("".join(draw.choices(bits, k=draw.randint(0, 12))) for _ in range(3_000))]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == expected(text), repr(text)
+    monkeypatch.setattr(tokens.parts, "__defaults__", (4,))
+    for text in texts:
+        assert np.frombuffer(words.encode_long(text), "<u4").tolist() == expected(text), repr(text)
+    monkeypatch.undo()
+    folder = str(tmp_path / "ids")
+    tokens.write(make(texts[:40]), folder)
+    got = {r.doc_id: r for r in tokens.summary(spark, folder).collect()}
+    ids = [[*expected(t), 2] for t in texts[:40]]
+    assert sorted(r.n_tokens for r in got.values()) == sorted(map(len, ids))
+    assert sorted(r.ids_crc32 for r in got.values()) == sorted(zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids)
+
+
 def test_files_hold_all_documents_in_order(spark, docs, none, library, tmp_path):
     folder = str(tmp_path / "ids")
     tokens.write(docs, folder)
