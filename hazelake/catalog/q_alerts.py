@@ -10,6 +10,9 @@ from hazelake.operators import fires, splits
 from hazelake.operators.lookup import lookup
 from hazelake.plans import alerts
 
+#: days of fires that are ranked, the published default
+RECENT_DAYS = 30
+
 LIVE = {**LINEAR, "live": SERVING + " "}
 
 
@@ -177,7 +180,7 @@ EVERY_FIRE = SCORED.replace("FROM located h JOIN stations s ON s.Province = h.Pr
     scored=EVERY_FIRE,
 )
 def hotspot_priority_top(t):
-    """The fires that matter most to each station, of all recent ones, with the wind it has now."""
+    """The fires that matter most to each station, of all of the last 30 days, with the wind it has now."""
     wind = alerts.latest_of(t.weather, NOW, "wind_direction_10m").withColumnRenamed("wind_direction_10m", "wind")
     places = t.stations.select("Province", "lat", "lon").join(wind, "Province")
-    return fires.priority_top_of_all(splits.since_latest(t.good_fires, "acq_date", 3), places, 20)
+    return fires.priority_top_of_all(splits.since_latest(t.good_fires, "acq_date", RECENT_DAYS), places, 20)

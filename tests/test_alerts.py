@@ -120,3 +120,36 @@ def test_fires_of_all_places_are_ranked_as_by_brute_force(spark):
         want = sorted((score(lat, lon, wind, y, x, f) for y, x, f, _ in burning if f is not None), reverse=True)[:5]
         have = [r.priority for r in sorted(got, key=lambda r: r["rank"]) if r.Province == name]
         assert len(have) == 5 and all(abs(a - b) < 1e-9 for a, b in zip(have, want)), name
+
+
+def test_fires_of_the_last_30_days_are_ranked(spark):
+    import math
+    import random
+    from types import SimpleNamespace
+
+    from hazelake.catalog.q_alerts import hotspot_priority_top
+    from hazelake.catalog.tables import NOW as now
+
+    rng = random.Random(8)
+    last = date(2024, 1, 24)
+    burning = [(rng.uniform(17, 21), rng.uniform(97, 102), rng.choice([1.5, 300.0 * rng.random() ** 4]), last - timedelta(days=i % 45)) for i in range(450)]
+    burning += [(18.0, 99.0, 9000.0, last - timedelta(days=30)), (18.0, 99.1, 90000.0, last - timedelta(days=31))]
+    places = [("a", 18.1, 99.0, 40.0), ("b", 20.5, 101.0, 310.0)]
+    t = SimpleNamespace(
+        good_fires=spark.createDataFrame(burning, "latitude double, longitude double, frp double, acq_date date"),
+        stations=spark.createDataFrame([p[:3] for p in places], "Province string, lat double, lon double"),
+        weather=spark.createDataFrame([(p[0], datetime.fromisoformat(now), p[3]) for p in places], "Province string, Datetime timestamp_ntz, wind_direction_10m double"),
+    )
+    got = hotspot_priority_top(t).collect()
+
+    def score(lat, lon, wind, y, x, frp):
+        a = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2
+        dist = 2 * 6371 * math.asin(math.sqrt(min(max(a, 0), 1)))
+        turn = abs((math.degrees(math.atan2(x - lon, y - lat)) % 360 - wind + 180) % 360 - 180)
+        return frp * (0.5 + (1 + math.cos(math.radians(turn))) / 2) / (dist + 10)
+
+    for name, lat, lon, wind in places:
+        want = sorted((score(lat, lon, wind, *f[:3]) for f in burning if f[3] >= last - timedelta(days=30)), reverse=True)[:20]
+        have = [r.priority for r in sorted(got, key=lambda r: r["rank"]) if r.Province == name]
+        assert len(have) == 20 and all(abs(a - b) < 1e-9 for a, b in zip(have, want)), name
+    assert max(r.frp for r in got) == 9000.0
