@@ -69,6 +69,8 @@ class Anchors:
 
     def segments(self, data: np.ndarray, ends: np.ndarray):
         """(first window, last window, anchor place, anchor hash) of texts that end at ``ends`` in ``data``."""
+        if len(data) > 1 << PLACE_BITS:
+            raise ValueError(f"{len(data)} bytes in one buffer, places are of {PLACE_BITS} bits")
         if len(data) < self.width:
             return [np.zeros(0, dtype=np.int64)] * 3 + [np.zeros(0, dtype=np.uint64)]
         h = self.hashes(data)

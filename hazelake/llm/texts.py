@@ -44,7 +44,7 @@ def groups(batches, size: int = PIECE) -> Iterator[list[tuple[int, bytes]]]:
     group, held = [], 0
     for batch in batches:
         for row, text in zip(batch.column(0).to_pylist(), unpacked(batch.column(batch.num_columns - 1))):
-            if held and held + len(text) > size:
+            if group and held + len(text) > size:
                 yield group
                 group, held = [], 0
             group.append((row, text))

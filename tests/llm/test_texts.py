@@ -105,6 +105,24 @@ def test_cuts_resist_shifts():
     assert later <= b | {len(text)} and len(later) > 200
 
 
+def test_long_texts_behind_empty_ones_are_cut_into_pieces():
+    import pyarrow as pa
+    import zstandard
+
+    long = np.random.default_rng(4).integers(97, 123, 5 << 20, dtype=np.uint8).tobytes()
+
+    def segments(*contents):
+        packed = [zstandard.ZstdCompressor(level=1).compress(c) for c in contents]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(contents))), pa.array(packed, pa.binary())], names=["row", "packed"])
+        return [tuple(r.values()) for b in suffix._anchored(400, 32)([batch]) for r in b.drop_columns(["row"]).to_pylist()]
+
+    alone = segments(long)
+    assert segments(b"", long) == alone and segments(b"", b"", long) == alone
+    assert segments(long, b"", long) == 2 * alone
+    with pytest.raises(ValueError):
+        suffix.Anchors(400, 32).segments(np.zeros((1 << suffix.PLACE_BITS) + 1, np.uint8), np.array([(1 << suffix.PLACE_BITS) + 1]))
+
+
 def test_cuts_do_not_depend_on_pieces():
     rng = random.Random(2)
     text = bytes(rng.randrange(97, 123) for _ in range(30_000)) + b"a" * 9_000
