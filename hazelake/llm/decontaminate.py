@@ -5,7 +5,9 @@ placeholders, other words lose case and punctuation. Windows of ``WINDOW`` templ
 of them literal, are hashed and joined to those of the benchmark. A document and an item that share enough windows
 (``COVERED`` of the item's, or a run of ``RUN`` words) are aligned, and what fills the item's slots is compared
 with what fills the document's: on one alignment each value of the item must stand for one value of the document.
-So a question with other numbers or names is caught, and a text that only has the same shape is not.
+So a question with other numbers or names is caught, and a text that only has the same shape is not. Where a value
+stands for several, the windows that cover a slot which it changed do not count; all others do, verbatim ones above
+all, and are tested for enough again. A pair that needs such an alignment is never ``exact``.
 
 The benchmark's windows go to all executors only while they are fewer than ``MOST_BROADCAST``; beyond that they
 are shuffled. Documents travel only as (key, place) of shared windows; the words of a document are taken apart
@@ -116,15 +118,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "text") ->
                                            (F.col("place") + F.col("k")).alias("place"), (F.col("item_place") + F.col("k")).alias("item_place")).distinct()
     slots = tokens(items, "item", "item_place", "asked").where("slot").drop("slot")
     filled = cells.join(slots, ["item", "item_place"]).join(tokens(texts, "key", "place", "given").drop("slot"), ["key", "place"])
+    filled = written(filled.select("key", "item", "shift", "place", "asked", "given"), "slots")
     values = filled.groupBy("key", "item", "shift").agg(
         F.countDistinct("asked").alias("asked"), F.countDistinct("asked", "given").alias("pairs"),
         F.min((F.col("asked") == F.col("given")).cast("int")).alias("same"),
     )
+    several = filled.groupBy("key", "item", "shift", "asked").agg(F.min("given").alias("low"), F.max("given").alias("high")).where("low <> high")
+    changed = filled.where("asked <> given").join(several, ["key", "item", "shift", "asked"], "left_semi")
+    over = changed.withColumn("k", k).select("key", "item", "shift", (F.col("place") - F.col("k")).alias("place")).distinct()
     judged = near.withColumn("shift", F.col("place") - F.col("item_place")).join(values, ["key", "item", "shift"], "left")
-    sound = judged.where(F.coalesce(F.col("asked") == F.col("pairs"), F.lit(True)))
+    firm = judged.where(F.coalesce(F.col("asked") == F.col("pairs"), F.lit(True)))
+    sound = judged.join(over, ["key", "item", "shift", "place"], "left_anti")
     final = _enough(sound.select("key", "item", "place", "item_place"), sizes, "key").select("key", "item")
-    same = sound.groupBy("key", "item").agg((F.min(F.coalesce("same", F.lit(1))) == 1).alias("exact"))
-    out = final.join(same, ["key", "item"]).join(items.select("item", "item_id"), "item")
+    certain = _enough(firm.select("key", "item", "place", "item_place"), sizes, "key").select("key", "item")
+    alike = firm.groupBy("key", "item").agg((F.min(F.coalesce("same", F.lit(1))) == 1).alias("exact"))
+    exact = certain.join(alike, ["key", "item"])
+    out = final.join(exact, ["key", "item"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    out = out.join(items.select("item", "item_id"), "item")
     return out.join(texts.select("key", "doc_id"), "key").select("key", "doc_id", "item_id", "exact")
 
 

@@ -240,6 +240,20 @@ def test_slots_that_differ_from_place_to_place_do_not_count(make, spark):
     assert got == {1}
 
 
+def test_a_changed_slot_only_costs_the_windows_over_it(make, spark):
+    rest = "and after a while all of them went home through the dark wood where nobody had ever been before that long night"
+    verbatim = f"The old man walked down to the river with his two dogs {rest} The end of it was not what any of us had hoped for at all"
+    pears = "she has 3 apples in one basket and 3 pears in the other but gives half of them to the friends she meets along a road so how many of both does she have left over"
+    bench = spark.createDataFrame([(1, verbatim), (2, pears), (3, "of the 9 we saw 9 then 9 more and 9 less")], "item_id long, text string")
+    texts = [
+        verbatim, verbatim.replace("The end", "An end"), pears.replace("3 apples", "4 apples").replace("3 pears", "5 pears"),
+        pears.replace("3", "8"), "of the 1 we saw 2 then 3 more and 4 less",
+    ]
+    got = {r.doc_id: (r["items"], r.exact) for r in decontaminate.leaks(make(texts), bench).collect()}
+    assert got == {1: ("1", True), 2: ("1", False), 3: ("2", False), 4: ("2", False)}
+    assert {r.doc_id for r in decontaminate.clean(make(texts), bench).collect()} == {5}
+
+
 def test_decontamination_matches_sql(make, benchmark, docs, none):
     other = ITEM.replace("Anna", "Bert").replace("12", "30")
     documents = make([f"before. {ITEM} after", f"x  y\n{other}", f"a {ITEM[:60]} b", f"5 kg {ITEM}", None]).select("doc_id", "text")
