@@ -4,6 +4,9 @@ Every rule is a row (name, measure, least, most, from how many words on). ``meas
 into counts, ``verdicts`` compiles the table into one boolean expression over them; both are built-in
 columns, so a scan, a projection and nothing else runs, and no row leaves its task.
 
+Stop words are English, German, French and Spanish, so 'few stop words' judges only texts whose ``lang`` is one of these
+(also as en-GB), is null or empty, or is not a column.
+
 Nulls: a null text has no words. Empty texts, empty tables and repeated rows need no special case;
 further columns are carried along by ``judge`` unless they bear the name of a measure, which replaces
 them. Very long texts are measured whole; time grows as n log n with the words of one text.
@@ -25,6 +28,7 @@ STOP_WORDS = (
     "le la les de des et en un une du que qui dans pour par sur avec "
     "el los las y que se por con para no al lo una su"
 ).split()
+STOP_LANGUAGES = ("en", "de", "fr", "es")
 WINDOW = 5
 
 
@@ -35,6 +39,7 @@ class Rule:
     least: float | None = None
     most: float | None = None
     from_words: int = 0
+    languages: tuple[str, ...] = ()
 
 
 BASE = (
@@ -44,7 +49,7 @@ BASE = (
 TABLE = (
     Rule("odd word length", "mean_word_chars", least=1.5, most=25),
     Rule("symbols", "symbols_per_word", most=0.3),
-    Rule("few stop words", "stop_ratio", least=0.01, from_words=100),
+    Rule("few stop words", "stop_ratio", least=0.01, from_words=100, languages=STOP_LANGUAGES),
     Rule("repeated lines", "dup_line_ratio", most=0.5),
 )
 
@@ -109,37 +114,48 @@ def measures(df: DataFrame, column: str = "text") -> DataFrame:
     }).drop("_words", "_windows", "_lines", "_stops")
 
 
-def fails(rule: Rule) -> Column:
+def language(df: DataFrame) -> Column:
+    """The language of each row in lower case without its region, null if it is not known."""
+    if not any(c.lower() == "lang" for c in df.columns):
+        return F.lit(None).cast("string")
+    code = F.regexp_extract(F.lower(F.trim(F.col("lang").cast("string"))), "^[^-_]*", 0)
+    return F.when(code != "", code)
+
+
+def fails(rule: Rule, lang: Column) -> Column:
     value, tests = F.col(rule.measure), F.lit(False)
     if rule.least is not None:
         tests = tests | (value < rule.least)
     if rule.most is not None:
         tests = tests | (value > rule.most)
+    if rule.languages:
+        tests = tests & F.coalesce(lang.isin(*rule.languages), F.lit(True))
     return tests & (F.col("n_words") >= rule.from_words)
 
 
-def any_of(rules) -> Column:
+def any_of(rules, lang: Column) -> Column:
     out = F.lit(False)
     for rule in rules:
-        out = out | fails(rule)
+        out = out | fails(rule, lang)
     return out
 
 
 def judge(df: DataFrame, table=TABLE, base=BASE, column: str = "text") -> DataFrame:
     """The frame with its measures, ``base_failed``, ``kept`` and the names of the rules broken."""
+    lang = language(df)
     broken = F.filter(
-        F.array(*[F.when(fails(r), F.lit(r.name)) for r in (*base, *table)]), lambda x: x.isNotNull()
+        F.array(*[F.when(fails(r, lang), F.lit(r.name)) for r in (*base, *table)]), lambda x: x.isNotNull()
     )
     return measures(df, column).withColumns({
-        "base_failed": any_of(base),
-        "kept": ~any_of((*base, *table)),
+        "base_failed": any_of(base, lang),
+        "kept": ~any_of((*base, *table), lang),
         "broken_rules": F.concat_ws(", ", broken),
     })
 
 
 def keep(df: DataFrame, table=TABLE, base=BASE, column: str = "text") -> DataFrame:
     """The rows that no rule rejects, columns as they came."""
-    judged = judge(df.select(F.struct("*").alias("_row"), whole_text(column).alias("_text")), table, base, "_text")
+    judged = judge(df.select(F.struct("*").alias("_row"), whole_text(column).alias("_text"), language(df).alias("lang")), table, base, "_text")
     return judged.where("kept").select("_row.*")
 
 

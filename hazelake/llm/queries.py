@@ -57,7 +57,7 @@ def op4_simhash_near_dedup(spark, sf_dir):
 
 @query("op5_quality_rules", quality.sql())
 def op5_quality_rules(spark, sf_dir):
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

@@ -42,6 +42,15 @@ def test_overlapping_repeats_count_each_word_once(make):
     assert quality.judge(make(["w " * 12])).first().n_repeat_words == 12
 
 
+def test_stop_words_judge_only_their_languages(spark):
+    text = " ".join(f"слово{i}" for i in range(150))
+    langs = ["ru", "pl", "en", "EN-gb", None, ""]
+    docs = spark.createDataFrame([(i, text, lang) for i, lang in enumerate(langs)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.keep(docs).collect()} == {0, 1}
+    assert {r.doc_id for r in quality.judge(docs).where("kept").collect()} == {0, 1}
+    assert quality.keep(docs.drop("lang")).count() == 0
+
+
 def test_quality_keeps_columns_and_empty_tables(docs, none):
     kept = quality.keep(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
