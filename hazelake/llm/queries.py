@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hazelake.llm import chunks, decontaminate, mixing, pii, quality, quotes, secrets, simhash, spans, suffix, tokens
+from hazelake.llm import chunks, clusters, decontaminate, mixing, pii, quality, quotes, secrets, simhash, spans, suffix, tokens
 from hazelake.llm.common import table
 from hazelake.session import fresh_path
 
@@ -91,3 +91,10 @@ def op9_substring_dedup(spark, sf_dir):
 def op10_source_mixing(spark, sf_dir):
     rows = mixing.assigned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", F.col("turns")[0]["position"].alias("first_position"))
+
+
+@query("op13_centroid_clustering", clusters.sql())
+def op13_centroid_clustering(spark, sf_dir):
+    rows = clusters.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
