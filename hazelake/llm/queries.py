@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hazelake.llm import chunks, clusters, decontaminate, mixing, pii, quality, quotes, secrets, simhash, spans, suffix, tokens
+from hazelake.llm import chunks, clusters, decontaminate, mixing, periods, pii, quality, quotes, secrets, simhash, spans, suffix, tokens, toxicity
 from hazelake.llm.common import table
 from hazelake.session import fresh_path
 
@@ -93,6 +93,19 @@ def op10_source_mixing(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", "taken", F.col("turns")[0]["position"].alias("first_position"))
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine, share = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    rows = toxicity.scored(docs, machine, share)
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op12_periodic_run_detection", periods.sql())
+def op12_periodic_run_detection(spark, sf_dir):
+    return periods.summary(periods.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=periods.looped))
+
+
 @query("op13_centroid_clustering", clusters.sql())
 def op13_centroid_clustering(spark, sf_dir):
     rows = clusters.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
