@@ -176,7 +176,7 @@ EVERY_FIRE = SCORED.replace("FROM located h JOIN stations s ON s.Province = h.Pr
     "Province rank# latitude~ longitude~ frp~ dist_km~ priority~",
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Province
       ORDER BY priority DESC, latitude, longitude, frp, acq_date) AS rank FROM scored) WHERE rank <= 20""",
-    recent_fires="SELECT * FROM good_fires WHERE acq_date >= (SELECT max(acq_date) FROM good_fires) - 3",
+    recent_fires=f"SELECT * FROM good_fires WHERE acq_date >= (SELECT max(acq_date) FROM good_fires) - {RECENT_DAYS}",
     scored=EVERY_FIRE,
 )
 def hotspot_priority_top(t):

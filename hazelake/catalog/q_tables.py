@@ -338,10 +338,13 @@ def asof_latest(t):
 
 
 # ------------------------------------------------------------------ set operations, order, fills
-UNION = f"""SELECT Datetime, Province, PM25, temperature_2m, 'history' AS source FROM observed
-  WHERE Datetime <= TIMESTAMP '{NOW}' UNION ALL
-  SELECT Datetime, Province, NULL, temperature_2m + 1, 'forecast' FROM weather
-  WHERE Datetime >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY"""
+PARTS = dict(
+    known=f"""SELECT w.Datetime, w.Province, p.PM25, w.temperature_2m FROM (SELECT pid, Datetime, Province, temperature_2m FROM weather
+      WHERE Datetime <= TIMESTAMP '{NOW}') w LEFT JOIN pm25 p ON w.pid = p.pid AND w.Datetime = p.Datetime""",
+    coming=f"SELECT Datetime, Province, temperature_2m + 1 AS temperature_2m FROM weather WHERE Datetime >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY",
+)
+UNION = """SELECT Datetime, Province, PM25, temperature_2m, 'history' AS source FROM known UNION ALL
+  SELECT Datetime, Province, CAST(NULL AS DOUBLE) AS PM25, temperature_2m, 'forecast' AS source FROM coming"""
 
 
 def _history_and_forecast(t):
@@ -350,7 +353,7 @@ def _history_and_forecast(t):
     return panel.union_sources(history=history, forecast=ahead.withColumn("temperature_2m", F.col("temperature_2m") + 1))
 
 
-@query("union_history_forecast", "Datetime Province PM25~ temperature_2m~ source", UNION)
+@query("union_history_forecast", "Datetime Province PM25~ temperature_2m~ source", UNION, **PARTS)
 def union_history_forecast(t):
     return _history_and_forecast(t)
 
@@ -360,6 +363,7 @@ def union_history_forecast(t):
     "Datetime Province PM25~ temperature_2m~ source",
     f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Datetime, Province
       ORDER BY CASE source WHEN 'history' THEN 0 ELSE 1 END) AS rn FROM ({UNION})) WHERE rn = 1""",
+    **PARTS,
 )
 def dedupe_keep_first(t):
     return panel.history_wins(_history_and_forecast(t))

@@ -8,6 +8,7 @@ from hazelake.constants import FIRE_COLUMNS, LOW_CONFIDENCE
 from hazelake.functions import scalar as S
 from hazelake.operators.lookup import lookup
 from hazelake.operators.series import top_per_group
+from hazelake.session import materialised
 
 WATER_REFLECTION = 3
 VEGETATION = 0
@@ -109,7 +110,8 @@ def priority_top_of_all(hotspots: DataFrame, places: DataFrame, n: int, cell: fl
     cx, cy = F.floor(F.col("longitude") / cell), F.floor(F.col("latitude") / cell)
     known = hotspots.where(S.missing_to_null("frp").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     strength = F.when(F.col("frp") > 0, F.floor(F.log2("frp"))).otherwise(F.lit(-1100)).cast("int")
-    placed = known.withColumns({"_cx": cx, "_cy": cy, "_power": strength})
+    # read by classes, floors and the last join: written once, in the columns that are ranked
+    placed = materialised(known.withColumns({"_cx": cx, "_cy": cy, "_power": strength}), "placed-fires")
     classes = placed.groupBy("_cx", "_cy", "_power").agg(F.max("frp").alias("_most"))
     spots = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
@@ -125,7 +127,8 @@ def priority_top_of_all(hotspots: DataFrame, places: DataFrame, n: int, cell: fl
 
     # cells that the strongest fire of all could count from
     extent = classes.agg(*[f(c).alias(f"{w}{c}") for w, f in (("lo", F.min), ("hi", F.max)) for c in ("_cx", "_cy")], F.max("_most").alias("most"))
-    lo_x, hi_x, lo_y, hi_y, most = (extent.select(c).scalar() for c in ("lo_cx", "hi_cx", "lo_cy", "hi_cy", "most"))
+    bounds = extent.select(F.struct("*")).scalar()
+    lo_x, hi_x, lo_y, hi_y, most = (bounds[c] for c in ("lo_cx", "hi_cx", "lo_cy", "hi_cy", "most"))
     reach = F.when(F.col("_floor") > 0, F.lit(1.5) * F.greatest(most, F.lit(0.0)) / F.col("_floor") / 111.0 + cell).otherwise(F.lit(400.0))
     # degrees of longitude shrink towards the poles
     wide = reach / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(89.0)))), F.lit(0.02))

@@ -1,5 +1,4 @@
 import os
-import re
 import sys
 
 import pytest
@@ -33,20 +32,44 @@ def test_entry_runs(spark):
     assert len(df.columns) == 72 and df.count() > 0
 
 
-def single_task_windows(plan: str) -> list[str]:
-    """Windows of a printed plan whose next exchange brings all rows into one task."""
-    lines, found = plan.splitlines(), []
-    for i, line in enumerate(lines):
-        if re.search(r"\bWindow \[", line):
-            below = next((x for x in lines[i + 1:] if "Exchange" in x), "")
-            if "SinglePartition" in below:
-                found.append(line.strip())
-    return found
+def children(node) -> list:
+    """Plan nodes that a node reads from; plans of subqueries are none of them."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return [node.initialPlan()]
+    found = node.children()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def nodes(node):
+    yield node
+    for child in children(node):
+        yield from nodes(child)
+
+
+def first_exchanges(node):
+    for child in children(node):
+        if "Exchange" in child.nodeName():
+            yield child
+        else:
+            yield from first_exchanges(child)
+
+
+def single_task_windows(plan) -> list[str]:
+    """Windows whose rows come from an exchange that brings all of them into one task."""
+    windows = [n for n in nodes(plan) if n.nodeName() == "Window"]
+    return [w.nodeName() for w in windows if any("SinglePartition" in x.outputPartitioning().toString() for x in first_exchanges(w))]
+
+
+def test_a_window_in_one_task_is_noticed(spark):
+    rows = spark.range(10).selectExpr("id", "id % 2 AS k")
+    one = rows.selectExpr("row_number() OVER (ORDER BY id) AS n")
+    keyed = rows.selectExpr("row_number() OVER (PARTITION BY k ORDER BY id) AS n", "(SELECT max(id) FROM range(5)) AS m")
+    assert [single_task_windows(x._jdf.queryExecution().executedPlan()) for x in (one, keyed)] == [["Window"], []]
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
 def test_no_plan_has_a_cross_join_or_a_window_in_one_task(spark, name):
-    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan()
+    assert "CartesianProduct" not in plan.toString() and "NestedLoop" not in plan.toString()
     assert not single_task_windows(plan)
