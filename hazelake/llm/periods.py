@@ -299,9 +299,9 @@ ids AS MATERIALIZED (SELECT *, {CRC32} AS h FROM (SELECT DISTINCT doc_id FROM do
 placed AS (SELECT r, t.doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS k FROM texts t LEFT JOIN ids i ON t.doc_id = i.doc_id),
 docs AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // k) + 1] END) END AS w FROM placed),
 words AS MATERIALIZED (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM docs),
-places AS MATERIALIZED (SELECT r, n, word, list(i ORDER BY i) AS at FROM words GROUP BY 1, 2, 3),
-pairs AS MATERIALIZED (SELECT r, i, j - i AS q FROM (SELECT r, n, i, unnest(list_filter(at, lambda x: x > i AND 4 * (x - i) <= n)) AS j
-  FROM (SELECT r, n, at, unnest(at) AS i FROM places WHERE len(at) > 1))),
+places AS MATERIALIZED (SELECT r, n, word, list(i ORDER BY i) AS spots FROM words GROUP BY 1, 2, 3),
+pairs AS MATERIALIZED (SELECT r, i, j - i AS q FROM (SELECT r, n, i, unnest(list_filter(spots, lambda x: x > i AND 4 * (x - i) <= n)) AS j
+  FROM (SELECT r, n, spots, unnest(spots) AS i FROM places WHERE len(spots) > 1))),
 parts AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM pairs) GROUP BY r, q, part),
 runs AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM parts WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
 listed AS (SELECT r, count(*) AS n_runs, arg_max({{'start': start, 'length': length, 'period': period}}, length * 1000000000000 - start) AS best,
