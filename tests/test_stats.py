@@ -9,14 +9,14 @@ from hazelake.operators import stats
 from hazelake.operators.quantiles import exact_quantiles
 
 
-def test_quantiles_match_numpy_through_brackets(spark):
+def test_quantiles_match_numpy_through_passes(spark):
     rng = random.Random(5)
     rows = [("hot", rng.gauss(0, 10)) for _ in range(5000)] + [("few", float(i)) for i in range(4)]
     rows += [("same", 2.5)] * 3000 + [("one", 7.0), ("none", None), ("nan", float("nan"))]
     rows += [("half", float(i % 2)) for i in range(3001)]
     df = spark.createDataFrame(rows, "g string, v double")
     probabilities = {"lo": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "hi": 0.99, "min": 0.0, "max": 1.0}
-    got = {r.g: r for r in exact_quantiles(df, "g", "v", probabilities, accuracy=100).collect()}
+    got = {r.g: r for r in exact_quantiles(df, "g", "v", probabilities, radix=8).collect()}
     frame = pd.DataFrame(rows, columns=["g", "v"]).dropna()
     assert set(got) == {"hot", "few", "same", "one", "half"}
     for g, part in frame.groupby("g"):
@@ -24,6 +24,29 @@ def test_quantiles_match_numpy_through_brackets(spark):
             assert got[g][name] == pytest.approx(np.quantile(part["v"], p), abs=1e-12), (g, name)
 
 
+@pytest.mark.parametrize("values", [
+    [0.0] * 50 + [-0.0] * 50, [10.0 ** (i % 300) for i in range(600)], [-(2.0 ** (i - 500)) for i in range(1000)],
+    [float("inf"), float("-inf"), 1.0, 2.0, 3.0] * 30, [5e-324 * i for i in range(200)], [1e308, -1e308, 0.5] * 40 + [0.25] * 99,
+    [1.0 + i * 2.0 ** -52 for i in range(300)],
+])
+def test_quantiles_of_odd_distributions(spark, values):
+    probabilities = {"min": 0.0, "low": 1 / 3, "q50": 0.5, "high": 0.9, "max": 1.0}
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    with np.errstate(all="ignore"):
+        ranks = {n: np.quantile(values, p, method="lower") for n, p in probabilities.items()}
+        tops = {n: np.quantile(values, p, method="higher") for n, p in probabilities.items()}
+    for few in (True, False):
+        got = exact_quantiles(df, "g", "v", probabilities, radix=8, few_groups=few).first()
+        for n in probabilities:
+            assert ranks[n] <= got[n] <= tops[n]
+
+
+def test_quantiles_rank_nothing_in_a_window(spark):
+    df = spark.range(5000).selectExpr("id % 3 AS g", "sqrt(id) AS v")
+    plan = exact_quantiles(df, "g", "v", {"q": 0.4})._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
 def test_correlations_match_pandas_with_gaps_and_constants(spark):
     rng = random.Random(2)
     rows = []
