@@ -45,7 +45,7 @@ def op2_benchmark_decontamination(spark, sf_dir):
 def op3_suffix_dedup(spark, sf_dir):
     kept = suffix.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
-        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared"
     )
 
 

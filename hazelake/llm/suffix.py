@@ -35,6 +35,10 @@ from hazelake.llm.rindex import RunIndex, ranges
 WIDTH = 400
 GRAM = 32
 GROUP_BYTES = 1 << 20
+#: rows of a key that one task may get in any case, and the share of all rows beyond that
+HEAVY = 1000
+#: one string of ``GRAM`` bytes is noted among so many that start in a row
+NOTED = 160
 INDEX_BYTES = 1 << 21
 #: positions of a piece fit the low bits of a sort key
 PLACE_BITS = 22
@@ -67,6 +71,21 @@ class Anchors:
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ h >> np.uint64(32)
 
+    def noted(self, data: np.ndarray, ends: np.ndarray, among: int) -> np.ndarray:
+        """Places of the strings with the least hash among ``among`` that start in a row and stay inside a text."""
+        if len(data) < self.gram + among - 1:
+            return np.zeros(0, dtype=np.int64)
+        h = self.hashes(data)
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        least = texts.sliding(h & ~low | np.arange(len(h), dtype=np.uint64), among, np.minimum)
+        starts = np.r_[0, ends[:-1]]
+        inside = np.zeros(len(data) + 1, dtype=np.int64)
+        long = ends - starts >= self.gram + among - 1
+        np.add.at(inside, starts[long], 1)
+        np.add.at(inside, ends[long] - self.gram - among + 2, -1)
+        held = least[np.cumsum(inside)[:len(least)] > 0]
+        return np.unique((held & low).astype(np.int64))
+
     def segments(self, data: np.ndarray, ends: np.ndarray):
         """(first window, last window, anchor place, anchor hash) of texts that end at ``ends`` in ``data``."""
         if len(data) > 1 << PLACE_BITS:
@@ -106,14 +125,21 @@ def _digest(part: bytes) -> int:
     return xxhash.xxh3_64_intdigest(part)
 
 
-def _anchored(width: int, gram: int):
+def _anchored(width: int, gram: int, among: int = NOTED):
     names = ["key", "digest", "row", "first", "last", "anchor"]
 
     def run(batches):
         anchors = Anchors(width, gram)
         for group in texts.groups(batches):
             for rows, offsets, data, ends in _pieces(group, width):
-                first, last, place, h = anchors.segments(np.frombuffer(data, np.uint8), ends)
+                buffer = np.frombuffer(data, np.uint8)
+                places = anchors.noted(buffer, ends, among)
+                if len(places):
+                    own = np.array(rows)[np.searchsorted(ends, places, side="right")]
+                    none = np.full(len(places), -1, dtype=np.int64)
+                    columns = [anchors.hashes(buffer)[places].view(np.int64), none, own, none, none, none]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                first, last, place, h = anchors.segments(buffer, ends)
                 if not len(first):
                     continue
                 doc = np.searchsorted(ends, first, side="right")
@@ -133,11 +159,24 @@ def _signed(number: int) -> int:
 _SEGMENT = "key long, digest long, row long, first long, last long, anchor long"
 
 
+def matched(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are among ``wanted`` (keys and ``n``, the rows that have them).
+
+    Keys of over a thousandth of the rows, of which there are less than a thousand, are looked up where the rows
+    are; so no task gets more than a thousandth for one key.
+    """
+    total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = wanted.where(F.col("n") > max(HEAVY, total // HEAVY)).select(*keys)
+    light = wanted.where(F.col("n") <= max(HEAVY, total // HEAVY)).select(*keys)
+    rest = rows.join(F.broadcast(heavy), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys, "left_semi").unionByName(rest.join(light, keys, "left_semi"))
+
+
 def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Marks of all segments that occur twice; one of each segment whose key has different ones."""
     place = F.struct("row", "first", "last", "anchor")
-    counted = rows.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    marks = rows.join(counted.where("n > 1").select("key", "digest"), ["key", "digest"]).select("row", "first", "last")
+    counted = written(rows.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(place).alias("one")), "segment-counts")
+    marks = matched(rows, counted.where("n > 1").select("key", "digest", "n"), ["key", "digest"]).select("row", "first", "last")
     mixed = counted.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     return marks, counted.join(mixed, "key", "left_semi").select("key", "digest", "one.*")
 
@@ -211,9 +250,17 @@ def _indexed(width: int):
     return run
 
 
-def marked(packed: DataFrame, width: int = WIDTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(row, first, last): first to last of window starts that are repeated; they may overlap."""
-    rows = written(packed.select("row", "packed").mapInArrow(_anchored(width, gram), _SEGMENT), "segments", compression="zstd")
+def noted_elsewhere(rows: DataFrame) -> DataFrame:
+    """(row, n_shared): noted strings of a text that are noted in another text too."""
+    noted = rows.where("first < 0").select("key", "row")
+    met = written(noted.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("key", "n"), "shared")
+    return matched(noted, met, ["key"]).groupBy("row").agg(F.count("*").alias("n_shared"))
+
+
+def marked(packed: DataFrame, width: int = WIDTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, among: int = NOTED) -> tuple[DataFrame, DataFrame]:
+    """(row, first, last): first to last of window starts that are repeated, which may overlap; and ``noted_elsewhere``."""
+    both = written(packed.select("row", "packed").mapInArrow(_anchored(width, gram, among), _SEGMENT), "segments", compression="zstd")
+    rows, shared = both.where("first >= 0"), noted_elsewhere(both)
     marks, ones = _settled(rows)
     found = [written(marks, "marks")]
     places = ones.groupBy("row").agg(F.collect_list(F.struct("key", "first", "last", "anchor")).alias("places"))  # of one document
@@ -239,7 +286,7 @@ def marked(packed: DataFrame, width: int = WIDTH, gram: int = GRAM, group_bytes:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out, shared
 
 
 def removed(spans: list[dict], width: int) -> list[tuple[int, int]]:
@@ -254,29 +301,35 @@ def removed(spans: list[dict], width: int) -> list[tuple[int, int]]:
 
 
 def _kept(width: int):
-    names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_shared", "spans", "kept"]
 
     def run(batches):
         for batch in batches:
             out = {n: [] for n in names}
-            for doc, spans, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts.unpacked(batch.column(2))):
+            for doc, spans, shared, text in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2)], texts.unpacked(batch.column(3))):
                 gone = removed(spans, width)
                 cuts = [0, *[x for span in gone for x in span], len(text)]
                 out["doc_id"].append(doc)
                 out["n_bytes"].append(len(text))
                 out["n_removed"].append(sum(b - a for a, b in gone))
+                out["n_shared"].append(shared or 0)
                 out["spans"].append([{"start": a, "end": b} for a, b in gone])
                 out["kept"].append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=names)
 
     return run
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, column: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, spans (removed runs, in bytes), kept (the bytes left)."""
+def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, column: str = "text", group_bytes: int = GROUP_BYTES, among: int = NOTED) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_shared, spans (removed runs, in bytes), kept (the bytes left).
+
+    ``n_shared`` tells of repeats too short to be removed: of any ``gram + among - 1`` bytes in a row at least one string of
+    ``gram`` bytes is noted, by its hash, and those count that another document has noted too.
+    """
     packed = texts.packed_table(docs, "packed", column)
-    spans = marked(packed, width, gram, group_bytes).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one document
-    joined = packed.join(spans, "row", "left").select("doc_id", "spans", "packed")
-    return joined.mapInArrow(_kept(width), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    marks, shared = marked(packed, width, gram, group_bytes, among)
+    spans = marks.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one document
+    joined = packed.join(spans, "row", "left").join(shared, "row", "left").select("doc_id", "spans", "n_shared", "packed")
+    return joined.mapInArrow(_kept(width), "doc_id long, n_bytes long, n_removed long, n_shared long, spans array<struct<start:bigint,end:bigint>>, kept binary")

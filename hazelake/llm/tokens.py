@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ BATCH_BYTES = 1 << 21
 CACHED_WORDS = 350_000
 LONG_WORD = 64
 CACHED_TAILS = 10_000
+#: marks in ASCII but the apostrophe, which may belong to letters
+MARKS = string.punctuation.replace("'", "")
 
 _RAW = pa.schema([
     ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()),
@@ -130,6 +133,12 @@ class WordTokenizer:
         return ids
 
     def encode_piece(self, piece: str, space: str = " ") -> bytes:
+        if piece.isascii():  # most pieces: letters, then marks
+            letters = piece.rstrip(MARKS)
+            if letters.isalpha():
+                if len(letters) == len(piece):
+                    return self._ids(self.space + piece if space else piece)
+                return (self.known[letters] if space else self._ids(letters)) + self._tail(piece[len(letters):])
         if space and piece[:1] == "\n":
             return self.feed + self.encode_piece(piece[1:], "")
         m = self.plain(piece)

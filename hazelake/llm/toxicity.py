@@ -324,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_documents
     drawn = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents) for k in (0, 1)]
     ids = drawn[0].unionByName(drawn[1])  # of bounded size
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sample = written(texts.join(F.broadcast(ids), "doc_id").select("label", "text").repartition(F.xxhash64("text")), "toxicity-sample")
+    sample = written(texts.join(F.broadcast(ids), "doc_id").repartition(F.xxhash64("doc_id")).select("label", "text"), "toxicity-sample")
 
     # documents that hold a word, of copies of a sentence only one counted
     split = sample.mapInArrow(_split, "label int, doc long, near long, words array<string>")

@@ -90,6 +90,23 @@ def test_suffix_dedup_at_its_real_width_and_over_pieces(make, monkeypatch):
     assert [got[i] for i in sorted(got)] == brute_removed([t.encode() for t in texts], 400)
 
 
+def test_suffix_dedup_looks_heavy_segments_up_where_they_are(make, monkeypatch):
+    monkeypatch.setattr(suffix, "HEAVY", 2)
+    texts = passages(3) + ["heavy " * 30] * 9
+    got = suffix.deduplicated(make(texts), width=40, gram=8).collect()
+    want = brute_removed([t.encode() for t in texts], 40)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans)) for r in got} == {i: w[:3] for i, w in enumerate(want, 1)}
+
+
+def test_strings_shared_with_another_text_are_noted(make):
+    rng = random.Random(6)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared, short = line(39), line(7)
+    texts = [line(200) + shared + line(50), shared, line(3) + shared + line(90), line(300), line(20) + short + line(300), short, "", None, "q" * 400]
+    got = {r.doc_id: r.n_shared for r in suffix.deduplicated(make(texts), width=400, gram=8, among=32).collect()}
+    assert all(got[i] > 0 for i in (1, 2, 3)) and not any(got[i] for i in range(4, 10))
+
+
 def test_suffix_dedup_takes_odd_tables(docs, none):
     got = suffix.deduplicated(docs)
     assert got.count() == docs.count() and suffix.deduplicated(none).count() == 0
