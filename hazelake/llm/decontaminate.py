@@ -151,8 +151,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, column: str = "text") -> DataFr
     """The documents without those that hold a benchmark item, columns as they came."""
     key = free_name(docs, "key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", whole_text(column)))
-    bad = contaminated(docs, benchmark, column).select(F.col("key").alias("_bad")).distinct()
-    return keyed.join(bad, F.col(key) == F.col("_bad"), "left_anti").drop(key)
+    bad = contaminated(docs, benchmark, column).select(F.col("key").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _sql_template(x: str) -> str:
@@ -188,11 +188,15 @@ m AS (SELECT DISTINCT key, item, dw.place, bw.place AS item_place, dw.place - bw
 likely AS ({enough('m')}),
 near AS (SELECT m.* FROM m JOIN likely USING (key, item)),
 cells AS (SELECT DISTINCT key, item, shift, place + k AS place, item_place + k AS item_place FROM near, range(0, {WINDOW}) AS r(k)),
-filled AS (SELECT c.key, c.item, c.shift, s.value AS asked, t.value AS given FROM cells c JOIN bw_t s ON s.item = c.item AND s.place = c.item_place AND s.slot
+filled AS (SELECT c.key, c.item, c.shift, c.place, s.value AS asked, t.value AS given FROM cells c JOIN bw_t s ON s.item = c.item AND s.place = c.item_place AND s.slot
   JOIN dw_t t ON t.key = c.key AND t.place = c.place),
-vals AS (SELECT key, item, shift, count(DISTINCT asked) AS asked, count(DISTINCT (asked, given)) AS pairs, bool_and(asked = given) AS same FROM filled GROUP BY ALL),
-sound AS (SELECT near.*, coalesce(vals.same, true) AS same FROM near LEFT JOIN vals USING (key, item, shift) WHERE coalesce(vals.asked = vals.pairs, true)),
+vals AS (SELECT key, item, shift, count(DISTINCT asked) = count(DISTINCT (asked, given)) AS firm, bool_and(asked = given) AS same FROM filled GROUP BY ALL),
+several AS (SELECT key, item, shift, asked FROM filled GROUP BY ALL HAVING min(given) <> max(given)),
+gone AS (SELECT DISTINCT key, item, shift, place - k AS place FROM (SELECT filled.* FROM filled SEMI JOIN several USING (key, item, shift, asked) WHERE asked <> given) AS x, range(0, {WINDOW}) AS r(k)),
+sound AS (SELECT near.* FROM near ANTI JOIN gone USING (key, item, shift, place)),
+firm AS (SELECT near.*, coalesce(same, true) AS same FROM near LEFT JOIN vals USING (key, item, shift) WHERE coalesce(vals.firm, true)),
 final AS ({enough('sound')}),
-hits AS (SELECT d.doc_id, b.item_id, e.same FROM final JOIN (SELECT key, item, bool_and(same) AS same FROM sound GROUP BY ALL) AS e USING (key, item)
-  JOIN d USING (key) JOIN b USING (item))
+certain AS ({enough('firm')}),
+exact AS (SELECT key, item, bool_and(same) AS same FROM firm JOIN certain USING (key, item) GROUP BY ALL),
+hits AS (SELECT d.doc_id, b.item_id, coalesce(exact.same, false) AS same FROM final LEFT JOIN exact USING (key, item) JOIN d USING (key) JOIN b USING (item))
 SELECT doc_id, count(DISTINCT item_id) AS n_items, bool_or(same) AS exact, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hits GROUP BY doc_id"""

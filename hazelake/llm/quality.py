@@ -166,18 +166,21 @@ def sql(table=TABLE) -> str:
     """The same in DuckDB, for the columns of the query."""
     def condition(r):
         parts = [f"{r.measure} < {r.least!r}"] * (r.least is not None) + [f"{r.measure} > {r.most!r}"] * (r.most is not None)
-        return f"(({' OR '.join(parts)}) AND n_words >= {r.from_words})"
+        known = ", ".join(f"'{c}'" for c in r.languages)
+        asked = f" AND (code IS NULL OR code IN ({known}))" if known else ""
+        return f"(({' OR '.join(parts)}) AND n_words >= {r.from_words}{asked})"
 
     stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
+  nullif(regexp_extract(lower(trim(CAST(lang AS VARCHAR))), '^[^-_]*', 0), '') AS code FROM documents),
 lines AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 grams AS (SELECT rid, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g
   FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
 marked AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) AS x WHERE n > 1),
 repeated AS (SELECT rid, count(*) AS n FROM (
   SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS p FROM marked) AS y) AS z GROUP BY rid),
-m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+m AS (SELECT d.doc_id, d.code, CAST(len(w) AS BIGINT) AS n_words,
   CAST(length(translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(translate(text, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines,

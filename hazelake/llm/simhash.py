@@ -209,4 +209,4 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, c
     chosen = (
         marked.join(keyed, F.col("doc_id") == F.col("_row")).groupBy("component_id").agg(F.min_by("_row", "_order").alias("_chosen"))
     )
-    return numbered.join(chosen, F.col(row) == F.col("_chosen"), "left_semi").drop(row)
+    return numbered.join(chosen.select(F.col("_chosen").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

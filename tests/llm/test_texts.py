@@ -233,6 +233,11 @@ def test_links_keep_components_of_clustered_fingerprints(spark, tile, monkeypatc
     assert len(set(own)) == len(set(want))
 
 
+def test_one_of_each_carries_columns_of_any_name(spark):
+    documents = spark.createDataFrame([(1, "a b c d", 1, 2), (2, "a b c d", 3, 4), (3, None, 5, 6)], "doc_id long, text string, _chosen long, row long")
+    assert rows(simhash.one_of_each(documents)) == [(1, "a b c d", 1, 2), (3, None, 5, 6)]
+
+
 def test_one_of_each_component_stays(docs, none):
     left = simhash.one_of_each(docs)
     assert left.columns == docs.columns
