@@ -1,7 +1,8 @@
 """Modelling, forecasting and attribution queries.
 
-A model is fitted once per session and data folder, with the published settings of 200 rounds, and shared by
-the queries that read it. They use the rounds that are best on the validation part.
+A model is fitted once per session and data folder, with the published settings of at most 1,000 rounds, until the
+error of the validation part has not fallen for 50 rounds, and shared by the queries that read it. They use the
+rounds up to the best one.
 """
 
 import pandas as pd
@@ -15,25 +16,24 @@ from hazelake.constants import FEATURES
 from hazelake.functions.trees import Ensemble
 from hazelake.operators import splits, stats
 from hazelake.operators.series import keep_first
-from hazelake.plans import alerts, explain, forecast, model
+from hazelake.plans import alerts, boosting, explain, forecast, model
 from hazelake.plans.features import target_encoding
 from hazelake.session import fresh_path
 
-#: labelled rows that registered queries train on at most; scoring, validation and metrics take all rows
-TRAINING_ROWS = 50_000
+#: the variant with penalties, least gain, columns per level and early stopping
+SETTINGS = model.FULL
 _STORE: dict[tuple[str, str], tuple] = {}
 
 
 def prepared(t):
-    """(split feature rows, fitted model) of this folder."""
+    """(split feature rows, fitted model) of this folder; the model is fitted to all training rows."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _STORE:
         rows = splits.complete_cases(training_features(t), [*FEATURES, "PM25"])
         path = fresh_path(t.spark, "features")
         splits.time_split(rows, "Datetime", TRAIN_END, VALIDATION_END).write.parquet(path)
         table = t.spark.read.parquet(path)
-        fitted = model.fit(table.where("split = 'train'"), most_rows=TRAINING_ROWS, **model.SIMPLE_PARAMS)
-        _STORE[key] = (table, model.early_stopped(fitted, table.where("split = 'validation'")))
+        _STORE[key] = (table, model.fit_boosted(table.where("split = 'train'"), table.where("split = 'validation'"), settings=SETTINGS))
     return _STORE[key]
 
 
@@ -192,6 +192,65 @@ def attribution_fixed_trees(t):
     return long.where(F.col("feature").isin(FIXED_FEATURES))
 
 
+# ------------------------------------------------------------------ one boosted tree on bins that are written down
+BINNED = {"pm25_lag_1h": [15.0, 25.0, 35.0, 50.0, 70.0, 100.0], "temperature_2m": [18.0, 21.0, 25.0, 30.0, 33.0], "pm25_roll_mean_3h": [20.0, 30.0, 45.0, 60.0, 90.0]}
+ONE_TREE = boosting.Settings(
+    rounds=1, depth=2, step=0.1, row_share=1.0, tree_columns=1.0, level_columns=1.0, min_rows=5, l1=25.0, l2=10.0, min_gain=50.0, chunk=1
+)
+
+
+def _gain(g, n):
+    return f"pow(greatest(abs({g}) - {ONE_TREE.l1!r}, 0e0), 2) / ({n} + {ONE_TREE.l2!r})"
+
+
+def _cuts(source):
+    """The best cut of each part of ``source`` (path, feature, value, g): of equal gains the first feature and bin."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY gain DESC, place, edge) AS rn FROM (
+      SELECT *, {_gain('gl', 'nl')} + {_gain('(gall - gl)', '(nall - nl)')} - {_gain('gall', 'nall')} AS gain FROM (
+      SELECT path, feature, e.place, e.edge, sum(CASE WHEN value <= e.edge THEN g ELSE 0 END) AS gl, count(*) FILTER (value <= e.edge) AS nl,
+        sum(g) AS gall, count(*) AS nall FROM {source} s JOIN bin_edges e USING (feature) GROUP BY path, feature, e.place, e.edge) AS a
+      WHERE nl >= {ONE_TREE.min_rows} AND nall - nl >= {ONE_TREE.min_rows}) AS b WHERE gain > 1e-6) AS c WHERE rn = 1"""
+
+
+@query(
+    "boosted_tree_fixed_bins",
+    "path feature edge~ n_rows# value~ gain_per_row~",
+    f"""SELECT n.path, c.feature, c.edge, n.n_rows, -sign(n.g) * greatest(abs(n.g) - {ONE_TREE.l1!r}, 0e0) / (n.n_rows + {ONE_TREE.l2!r}) AS value,
+      coalesce(c.gain, 0e0) / n.n_rows AS gain_per_row FROM tree_nodes n LEFT JOIN kept_cuts c ON c.path = n.path""",
+    fixed_rows=FIXED_ROWS,
+    bin_edges="SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i}, {e!r}e0)" for i, (f, edges) in enumerate(BINNED.items()) for e in edges) + ") AS v(feature, place, edge)",
+    labelled="""SELECT row_number() OVER () AS rid, f.*, o.PM25 AS y FROM fixed_rows f JOIN observed o ON o.Province = f.Province AND o.Datetime = f.Datetime
+      WHERE o.PM25 IS NOT NULL AND f.Datetime <= TIMESTAMP '""" + TRAIN_END + "'",
+    at_root="""SELECT '' AS path, rid, feature, value, (SELECT avg(y) FROM labelled) - y AS g FROM (SELECT rid, y, unnest(['pm25_lag_1h', 'temperature_2m', 'pm25_roll_mean_3h']) AS feature,
+      unnest([pm25_lag_1h, temperature_2m, pm25_roll_mean_3h]) AS value FROM labelled)""",
+    root_cut=_cuts("at_root"),
+    at_sides="""SELECT CASE WHEN x.value <= r.edge THEN 'L' ELSE 'R' END AS path, a.rid, a.feature, a.value, a.g FROM root_cut r
+      JOIN at_root x ON x.feature = r.feature JOIN at_root a ON a.rid = x.rid""",
+    side_cuts=_cuts("at_sides"),
+    good_sides=f"SELECT * FROM side_cuts WHERE gain >= {ONE_TREE.min_gain!r}",
+    kept_cuts=f"SELECT * FROM good_sides UNION ALL SELECT * FROM root_cut WHERE gain >= {ONE_TREE.min_gain!r} OR (SELECT count(*) FROM good_sides) > 0",
+    at_leaves="""SELECT c.path || CASE WHEN x.value <= c.edge THEN 'L' ELSE 'R' END AS path, x.rid, x.g FROM good_sides c JOIN at_sides x ON x.path = c.path AND x.feature = c.feature""",
+    tree_nodes="""SELECT path, sum(g) AS g, count(*) AS n_rows FROM (SELECT path, rid, g FROM at_root WHERE feature = 'pm25_lag_1h'
+      UNION ALL SELECT path, rid, g FROM at_sides WHERE feature = 'pm25_lag_1h' AND (SELECT count(*) FROM kept_cuts WHERE path = '') > 0
+      UNION ALL SELECT path, rid, g FROM at_leaves) GROUP BY path""",
+)
+def boosted_tree_fixed_bins(t):
+    """The first tree of a boosted model over three features: its cuts, gains and leaf values."""
+    rows = splits.complete_cases(training_features(t).where(F.col("Datetime") <= splits.ntz(TRAIN_END)), [*FIXED_FEATURES, "PM25"])
+    rows = rows.select(*FIXED_FEATURES, "PM25")
+    names = list(BINNED)
+    tree = boosting.fit(rows, rows.where("false"), "PM25", names, ONE_TREE, edges=list(BINNED.values())).state.trees[0]
+    paths, out = {0: ""}, []
+    for i, n in enumerate(tree):
+        inner = n["left"] >= 0
+        if inner:
+            paths |= {n["left"]: paths[i] + "L", n["right"]: paths[i] + "R"}
+        value = boosting.leaf_value(n, {"l1": ONE_TREE.l1, "l2": ONE_TREE.l2})
+        cut = (names[n["feature"]], BINNED[names[n["feature"]]][n["bin"]]) if inner else (None, None)
+        out.append((paths[i], *cut, n["rows"], value, n["gain"] / n["rows"] if inner else 0.0))
+    return t.spark.createDataFrame(out, "path string, feature string, edge double, n_rows long, value double, gain_per_row double")
+
+
 TREE_STEPS = dict(
     tree_start="""SELECT r.Province, r.Datetime, r.PM25 AS p1, r.p2, r.p3 FROM (SELECT *,
       lag(PM25, 1) OVER (PARTITION BY Province ORDER BY Datetime) AS p2,

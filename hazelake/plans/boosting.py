@@ -8,7 +8,9 @@ T the soft threshold by ``l1``, a leaf of gradient sum G over H rows is worth ``
 gain less than ``min_gain`` are taken back from the leaves up once the tree is grown. Rows are drawn per tree by a hash
 of their number, columns per tree and again per level.
 
-Gradients are summed as integers, so trees do not depend on partitions or on the order of tasks.
+Gradients are summed as integers, so trees do not depend on partitions or on the order of tasks. That also lets a table of
+no more than ``ONE_TASK`` bytes of bins skip the jobs per level: one task grows the trees of a whole chunk, the same
+trees to the last bit.
 
 The first job of a round also sums the absolute errors of training and validation rows under the trees so far: fitting
 ends as soon as ``patience`` rounds have brought no better validation error, and the rounds up to the best one count.
@@ -32,6 +34,8 @@ from hazelake.operators.stats import to_long
 from hazelake.session import fresh_path
 
 BINS = 64
+#: bytes of bins, a byte per row and feature, up to which one task grows the trees of a chunk
+ONE_TASK = 1 << 24
 TRAIN, VALIDATION = 0, 1
 _CELL = "node int, feature int, bin int, g long, n long"
 
@@ -72,6 +76,7 @@ class State:
     edges: list[list[float]]
     base: float
     scale: float
+    rows: int
     settings: dict
     trees: list[list[dict]] = field(default_factory=list)
     errors: list[list[float]] = field(default_factory=list)
@@ -181,35 +186,42 @@ def _matrix(column, features: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, features)
 
 
+def _sums(rows, bins, y, part, guess, tree: list[dict] | None, wanted: np.ndarray, columns: np.ndarray, settings: Settings, number: int, scale: float):
+    """Gradients and rows of the nodes ``wanted`` by column, node and bin, and (errors, rows) of training and validation."""
+    errors = [(int(np.rint(np.abs(guess - y)[part == p] * scale).astype(np.int64).sum()), int((part == p).sum())) for p in (TRAIN, VALIDATION)]
+    g = np.zeros((len(columns), len(wanted) * BINS))
+    n = np.zeros_like(g)
+    if len(wanted):
+        used = np.flatnonzero((part == TRAIN) & drawn(rows, settings, number))
+        bins = bins[used]
+        place = np.full(len(tree or [0]), -1, dtype=np.int64)
+        place[wanted] = np.arange(len(wanted))
+        node = place[_descend(bins, tree)] if tree else np.zeros(len(used), dtype=np.int64)
+        used, bins, node = used[node >= 0], bins[node >= 0], node[node >= 0] * BINS
+        gradient = np.rint((guess - y)[used] * scale)  # whole numbers, so sums are exact
+        for k, c in enumerate(columns.tolist()):
+            cell = node + bins[:, c]
+            g[k] = np.bincount(cell, weights=gradient, minlength=g.shape[1])
+            n[k] = np.bincount(cell, minlength=g.shape[1])
+    return g, n, errors
+
+
 def _cells(state: State, settings: Settings, tree: list[dict] | None, frontier: list[int], columns: np.ndarray, with_errors: bool):
     """Per task: gradients and rows by (node, feature, bin), and errors as node -1 (training) and -2 (validation)."""
     features, later, number, scale = len(state.features), state.trees[state.rounds_written:], len(state.trees), state.scale
     plain, wanted = asdict(settings), np.array(frontier, dtype=np.int64)
 
     def run(batches):
-        place = np.full(len(tree or [0]), -1, dtype=np.int64)
-        place[wanted] = np.arange(len(wanted))
-        g = np.zeros((len(columns), len(frontier) * BINS), dtype=np.float64)
-        n = np.zeros_like(g)
-        error, seen = [0, 0], [0, 0]
+        g, error, seen = 0.0, [0, 0], [0, 0]
+        n = np.zeros((len(columns), len(wanted) * BINS))
         for batch in batches:
-            rows, bins, y, part, start = batch.column(0), _matrix(batch.column(1), features), *[batch.column(i).to_numpy() for i in (2, 3, 4)]
+            bins, y, part, start = _matrix(batch.column(1), features), *[batch.column(i).to_numpy() for i in (2, 3, 4)]
             guess = _predicted(bins, start, later, plain)
-            if with_errors:
-                for p in (TRAIN, VALIDATION):
-                    error[p] += int(np.rint(np.abs(guess - y)[part == p] * scale).astype(np.int64).sum())
-                    seen[p] += int((part == p).sum())
-            used = np.flatnonzero((part == TRAIN) & drawn(rows.to_numpy(), settings, number))
-            bins = bins[used]
-            node = place[_descend(bins, tree)] if tree else np.zeros(len(used), dtype=np.int64)
-            used, bins, node = used[node >= 0], bins[node >= 0], node[node >= 0] * BINS
-            gradient = np.rint((guess - y)[used] * scale)  # whole numbers, so sums are exact
-            for k, c in enumerate(columns.tolist()):
-                cell = node + bins[:, c]
-                g[k] += np.bincount(cell, weights=gradient, minlength=g.shape[1])
-                n[k] += np.bincount(cell, minlength=g.shape[1])
+            more_g, more_n, errors = _sums(batch.column(0).to_numpy(), bins, y, part, guess, tree, wanted, columns, settings, number, scale)
+            g, n = g + more_g, n + more_n
+            error, seen = [a + b for a, (b, _) in zip(error, errors)], [a + b for a, (_, b) in zip(seen, errors)]
         k, cell = np.nonzero(n)
-        out = [wanted[cell // BINS], columns[k], cell % BINS, g[k, cell].astype(np.int64), n[k, cell].astype(np.int64)]
+        out = [wanted[cell // BINS], columns[k], cell % BINS, g[k, cell].astype(np.int64) if len(k) else k, n[k, cell].astype(np.int64)]
         if with_errors:
             extra = [[-1, -2], [0, 0], [0, 0], error, seen]
             out = [np.concatenate([a, np.array(b)]) for a, b in zip(out, extra)]
@@ -219,6 +231,58 @@ def _cells(state: State, settings: Settings, tree: list[dict] | None, frontier:
     return run
 
 
+def cuts_in_task(g, n, errors, wanted, columns, settings: Settings, scale: float) -> dict[int, dict]:
+    """What ``best_cuts`` finds, from the sums of all rows: the same numbers in the same order of operations."""
+    out = {-1 - p: {"g": e / scale, "n": k} for p, (e, k) in enumerate(errors)}
+    shape = (len(columns), len(wanted), BINS)
+    gl, nl = np.cumsum(g.reshape(shape), axis=2) / scale, np.cumsum(n.reshape(shape), axis=2)
+
+    def part(g, n):
+        over = np.maximum(np.abs(g) - settings.l1, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return over * over / (n + settings.l2)
+
+    all_g, all_n = gl[:, :, -1:], nl[:, :, -1:]
+    allowed = (nl >= settings.min_rows) & (all_n - nl >= settings.min_rows) & (nl > 0) & (all_n - nl > 0)
+    gain = np.where(allowed, part(gl, nl) + part(all_g - gl, all_n - nl) - part(all_g, all_n), -np.inf)
+    for k, node in enumerate(wanted.tolist()):
+        if not all_n[0, k, 0]:
+            continue
+        c, b = divmod(int(gain[:, k].argmax()), BINS)  # the first of equals: the smallest feature and bin
+        found = bool(np.isfinite(gain[c, k, b]))
+        out[node] = {"g": float(all_g[0, k, 0]), "n": int(all_n[0, k, 0]), "gain": float(gain[c, k, b]) if found else None, "feature": int(columns[c]),
+                     "bin": b, "gl": float(gl[c, k, b]), "nl": int(nl[c, k, b])}
+    return out
+
+
+def _chunk_in_task(given: str):
+    """The state after the rounds of one chunk, all rows being in this task."""
+
+    def run(batches):
+        state = State(**json.loads(given))
+        settings, held = Settings(**state.settings), list(batches)
+        rows, y, part, start = (np.concatenate([b.column(i).to_numpy() for b in held] or [np.zeros(0)]) for i in (0, 2, 3, 4))
+        bins = np.concatenate([_matrix(b.column(1), len(state.features)) for b in held])
+        guess = _predicted(bins, start, state.trees[state.rounds_written:], state.settings)
+
+        def cuts(tree, frontier, columns, with_errors):
+            wanted = np.array(frontier, dtype=np.int64)
+            g, n, errors = _sums(rows, bins, y, part, guess, tree, wanted, columns, settings, len(state.trees), state.scale)
+            return cuts_in_task(g, n, errors, wanted, columns, settings, state.scale)
+
+        while True:
+            tree = _grow(cuts, state, settings)
+            state.finished = tree is None
+            if tree is not None:
+                state.trees.append([asdict(n) for n in tree])
+                guess = _predicted(bins, guess, state.trees[-1:], state.settings)
+            if state.finished or len(state.trees) % settings.chunk == 0:
+                break
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(state))])], names=["value"])
+
+    return run
+
+
 # ------------------------------------------------------------------ jobs
 def best_cuts(cells: DataFrame, l1: float, l2: float, min_rows: int, scale: float) -> DataFrame:
     """Per node the cut of most gain: node, feature, bin, gain, sums on the left and in all.
@@ -287,10 +351,12 @@ def load(spark: SparkSession, path: str) -> State | None:
     return last
 
 
-def _start(train: DataFrame, validation: DataFrame, label: str, features: list[str], settings: Settings, path: str, bins: int) -> State:
+def _start(
+    train: DataFrame, validation: DataFrame, label: str, features: list[str], settings: Settings, path: str, bins: int, edges: list[list[float]] | None
+) -> State:
     spark = train.sparkSession
     held = [df.dropna(subset=[*features, label]).select(F.col(label).alias("y"), F.lit(p).alias("part"), *features) for p, df in ((TRAIN, train), (VALIDATION, validation))]
-    edges = quantile_edges(held[0], features, bins)
+    edges = edges or quantile_edges(held[0], features, bins)
     binned(held[0].unionByName(held[1]), features, edges).write.mode("overwrite").parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     facts = rows.agg(F.avg(F.when(F.col("part") == TRAIN, F.col("y").cast("decimal(30,9)"))).cast("double").alias("base"), F.max(F.abs("y")).alias("most"), F.count("*").alias("n")).first()
@@ -298,7 +364,7 @@ def _start(train: DataFrame, validation: DataFrame, label: str, features: list[s
         raise ValueError("no training row has a label and all features")
     # sums of as many gradients stay whole numbers in doubles
     scale = 2.0 ** np.floor(52 - np.log2(4 * max(facts["most"], 1e-9) * facts["n"]))
-    state = State(list(features), edges, facts["base"], float(scale), asdict(settings))
+    state = State(list(features), edges, facts["base"], float(scale), facts["n"], asdict(settings))
     rows.withColumn("start", F.lit(facts["base"])).write.mode("overwrite").parquet(f"{path}/chunk-00000")
     _put(spark, f"{path}/state-00000", state)
     return state
@@ -319,15 +385,24 @@ def _write_chunk(spark: SparkSession, path: str, table: DataFrame, state: State)
     return spark.read.schema(table.schema).parquet(f"{path}/chunk-{chunk:05d}")
 
 
-def _grow(table: DataFrame, state: State, settings: Settings) -> list[Node] | None:
-    """One more tree; None if its first job shows that fitting is over. Notes the errors before it."""
+def _cuts_of(table: DataFrame, state: State, settings: Settings):
+    """Best cuts of a level by a job over the table."""
+
+    def cuts(tree, frontier, columns, with_errors):
+        found = table.mapInArrow(_cells(state, settings, tree, frontier, columns, with_errors), _CELL)
+        best = best_cuts(found, settings.l1, settings.l2, settings.min_rows, state.scale)
+        return {r["node"]: r for r in best.collect()}  # one row per node
+
+    return cuts
+
+
+def _grow(cuts_of, state: State, settings: Settings) -> list[Node] | None:
+    """One more tree; None if its first level shows that fitting is over. Notes the errors before it."""
     sets = column_sets(settings, len(state.features), len(state.trees))
     tree: list[Node] = []
     frontier = [0]
     for level in range(settings.depth):
-        grown = [asdict(n) for n in tree] or None
-        found = table.mapInArrow(_cells(state, settings, grown, frontier, sets[level], level == 0), _CELL)
-        cuts = {r["node"]: r for r in best_cuts(found, settings.l1, settings.l2, settings.min_rows, state.scale).collect()}  # one row per node
+        cuts = cuts_of([asdict(n) for n in tree] or None, frontier, sets[level], level == 0)
         if level == 0:
             state.errors.append([cuts[k]["g"] / cuts[k]["n"] if k in cuts and cuts[k]["n"] else None for k in (-1, -2)])
             if is_over(state, settings):
@@ -340,7 +415,7 @@ def _grow(table: DataFrame, state: State, settings: Settings) -> list[Node] | No
             if cut is None or cut["gain"] is None or cut["gain"] <= 1e-6:
                 continue
             node = tree[i]
-            node.feature, node.bin, node.gain, node.left, node.right = cut["feature"], cut["bin"], cut["gain"], len(tree), len(tree) + 1
+            node.feature, node.bin, node.gain, node.left, node.right = int(cut["feature"]), int(cut["bin"]), cut["gain"], len(tree), len(tree) + 1
             following += [len(tree), len(tree) + 1]
             tree += [Node(cut["gl"], int(cut["nl"])), Node(cut["g"] - cut["gl"], int(cut["n"] - cut["nl"]))]
         frontier = following
@@ -362,28 +437,32 @@ def is_over(state: State, settings: Settings) -> bool:
 
 def fit(
     train: DataFrame, validation: DataFrame, label: str, features: list[str], settings: Settings = Settings(),
-    path: str | None = None, bins: int = BINS, stop_after: int | None = None,
+    path: str | None = None, bins: int = BINS, edges: list[list[float]] | None = None, stop_after: int | None = None,
+    one_task: int = ONE_TASK,
 ) -> Boosted:
     """Trees fitted to the training rows until the validation error no longer falls.
 
     Rows without label or with a missing feature are left out; without validation rows all rounds are fitted. ``path`` is
-    a folder that all executors share: a fit that broke off there goes on from its last chunk. ``stop_after`` ends the
-    call after so many chunks, as a lost driver would.
+    a folder that all executors share: a fit that broke off there goes on from its last chunk. ``edges`` are upper ends of
+    bins for each feature, rising, in place of quantiles. Tables of up to ``one_task`` bytes of bins are one task's work. ``stop_after`` ends the call after so many chunks, as a lost
+    driver would.
     """
-    if bins > BINS:
+    if bins > BINS or any(len(e) >= BINS for e in edges or ()):
         raise ValueError(f"bins are numbered by a byte and counted in {BINS}")
     spark = train.sparkSession
     path = path or fresh_path(spark, "boosting")
-    state = load(spark, path) or _start(train, validation, label, features, settings, path, bins)
+    state = load(spark, path) or _start(train, validation, label, features, settings, path, bins, edges)
     settings = Settings(**state.settings)
     table = spark.read.parquet(f"{path}/chunk-{-(-state.rounds_written // settings.chunk):05d}").select("id", "bins", "y", "part", "start")
     chunks = 0
     while not state.finished and (stop_after is None or chunks < stop_after):
-        tree = _grow(table, state, settings)
-        if tree is not None:
-            state.trees.append([asdict(n) for n in tree])
+        if state.rows * len(features) <= one_task:
+            state = State(**json.loads(table.coalesce(1).mapInArrow(_chunk_in_task(json.dumps(asdict(state))), "value string").first()[0]))
         else:
-            state.finished = True
+            tree = _grow(_cuts_of(table, state, settings), state, settings)
+            state.finished = tree is None
+            if tree is not None:
+                state.trees.append([asdict(n) for n in tree])
         if state.finished or len(state.trees) % settings.chunk == 0:
             table = _write_chunk(spark, path, table, state) if len(state.trees) > state.rounds_written else table
             if state.finished:

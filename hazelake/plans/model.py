@@ -15,6 +15,8 @@ from hazelake.functions.scalar import clip_at_zero
 from hazelake.functions.trees import Ensemble
 from hazelake.operators.splits import complete_cases
 from hazelake.operators.stats import to_long
+from hazelake.plans import boosting
+from hazelake.plans.boosting import Boosted, Settings
 from hazelake.session import fresh_path, shared_folder
 
 # --- fixed values: published hyper-parameters of the two variants ---------------------------
@@ -24,16 +26,22 @@ FULL_PARAMS = {
 }
 SIMPLE_PARAMS = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "seed": 42}
 PATIENCE = 50
+#: the same two for ``fit_boosted``, with penalties, least gain and columns per level
+FULL = Settings(
+    rounds=1000, depth=6, step=0.05, row_share=0.8, tree_columns=0.8, level_columns=0.8, min_rows=5, l1=0.1, l2=1.0, min_gain=0.1, patience=PATIENCE, seed=42
+)
+SIMPLE = Settings(rounds=200, depth=6, step=0.1, row_share=1.0, tree_columns=1.0, level_columns=1.0, min_rows=1, l1=0.0, l2=1.0, min_gain=0.0, patience=PATIENCE, seed=42)
 
 
 @dataclass(frozen=True)
 class Fitted:
     """``rounds`` is the prefix that scores, forecasts and explains; all rounds if it is not given."""
 
-    model: GBTRegressionModel
+    model: GBTRegressionModel | None
     ensemble: Ensemble
     features: list[str] = field(default_factory=lambda: list(FEATURES))
     rounds: int | None = None
+    boosted: Boosted | None = None
 
 
 def assemble(df: DataFrame, features=FEATURES) -> DataFrame:
@@ -59,6 +67,16 @@ def fit(train: DataFrame, label: str = "PM25", features=FEATURES, most_rows: int
     return Fitted(model, flatten(model), list(features))
 
 
+def fit_boosted(train: DataFrame, validation: DataFrame, label: str = "PM25", features=FEATURES, settings: Settings = FULL, path: str | None = None) -> Fitted:
+    """Fit on all rows that have every feature and the label, until the validation error stops falling.
+
+    The rounds up to the best one score, forecast and explain. ``path`` makes the fit resumable.
+    """
+    boosted = boosting.fit(train, validation, label, list(features), settings, path)
+    ensemble = boosted.ensemble()
+    return Fitted(None, ensemble, list(features), len(ensemble.roots), boosted)
+
+
 def save(fitted: Fitted, path: str) -> None:
     fitted.model.write().overwrite().save(path)
 
@@ -120,7 +138,11 @@ def early_stopped(fitted: Fitted, validation: DataFrame, label: str = "PM25", pa
 
 
 def learning_curve(fitted: Fitted, train: DataFrame, validation: DataFrame, label: str = "PM25", patience: int = PATIENCE) -> DataFrame:
-    """MAE per round on both parts, the best round marked."""
+    """MAE per round on both parts, the best round marked; as noted while fitting if the model was boosted here."""
+    if fitted.boosted:
+        errors, best = fitted.boosted.state.errors[1:], fitted.boosted.best
+        rows = [(i, a, b, i == best) for i, (a, b) in enumerate(errors, 1)]
+        return train.sparkSession.createDataFrame(rows, "round int, train_mae double, validation_mae double, is_best boolean")
     on_train, on_validation = _errors(fitted, train, label), _errors(fitted, validation, label)
     best = best_round(on_validation, patience)
     rows = [
@@ -143,7 +165,7 @@ def best_round(errors, patience: int = PATIENCE) -> int:
 
 def feature_importance(fitted: Fitted, n: int = 20) -> DataFrame:
     """Normalised gain per feature, the ``n`` largest, with the kind of signal they carry."""
-    gains = np.asarray(fitted.model.featureImportances.toArray())
+    gains = fitted.boosted.gains() if fitted.boosted else fitted.model.featureImportances.toArray()
     rows = [(f, display_name(f), float(g)) for f, g in zip(fitted.features, gains)]
     spark = SparkSession.getActiveSession()
     table = spark.createDataFrame(rows, "feature string, display string, importance double")

@@ -59,9 +59,10 @@ def brute_predict(tree, row):
     Settings(rounds=3, depth=3, step=0.5, row_share=1.0, tree_columns=1.0, level_columns=1.0, l1=2.0, l2=3.0, min_gain=4.0, min_rows=7, chunk=2),
     Settings(rounds=3, depth=4, step=0.3, row_share=0.7, tree_columns=0.8, level_columns=0.7, l1=0.0, l2=0.0, min_gain=0.0, min_rows=1, chunk=5),
 ])
-def test_trees_equal_a_search_of_every_cut(spark, settings):
+@pytest.mark.parametrize("one_task", [0, boosting.ONE_TASK])
+def test_trees_equal_a_search_of_every_cut(spark, settings, one_task):
     pdf, rows = table(spark, 400, 1)
-    fitted = boosting.fit(rows, rows.limit(0), "y", COLUMNS, settings, bins=16)
+    fitted = boosting.fit(rows, rows.limit(0), "y", COLUMNS, settings, bins=16, one_task=one_task)
     edges = [np.unique(np.quantile(pdf[c], np.arange(1, 16) / 16)) for c in COLUMNS]
     for a, b in zip(fitted.state.edges, edges):
         np.testing.assert_allclose(a, b, atol=1e-12)
@@ -115,11 +116,20 @@ def test_stops_while_fitting_and_goes_on_after_a_lost_driver(spark, tmp_path):
     assert boosting.fit(train, validation, "y", COLUMNS, settings, path).rounds_fitted == whole.rounds_fitted
 
 
-def test_the_same_trees_whatever_the_partitions(spark):
-    settings = Settings(rounds=3, depth=3, row_share=1.0, chunk=10)
+def test_the_same_trees_whatever_the_partitions_and_the_size(spark, tmp_path):
+    settings = Settings(rounds=4, depth=3, row_share=1.0, chunk=3)
     _, rows = table(spark, 300, 6)
     one, two = (boosting.fit(r, rows.limit(0), "y", COLUMNS, settings).state.trees for r in (rows, rows.repartition(7)))
-    assert one == two
+    spread = boosting.fit(rows, rows.limit(0), "y", COLUMNS, settings, one_task=0).state
+    assert one == two == spread.trees
+    # the same row numbers, so the same samples
+    sampled = Settings(rounds=4, depth=3, chunk=3)
+    path = str(tmp_path / "a")
+    boosting.fit(rows, rows, "y", COLUMNS, sampled, path, stop_after=0)
+    import shutil
+    shutil.copytree(path, str(tmp_path / "b"))
+    a, b = (boosting.fit(rows, rows, "y", COLUMNS, sampled, str(tmp_path / p), one_task=k).state for p, k in (("a", 0), ("b", boosting.ONE_TASK)))
+    assert a == b and len(a.trees) == 4
 
 
 def test_nothing_to_learn_from(spark):
