@@ -5,9 +5,12 @@ over all documents and ranked, the most frequent first. A rank is written in as
 to four); control bytes of four 2-bit lengths each stand in a column of their own, so a block of ids is
 decoded by table lookups and sums, without a loop over ids.
 
-A file row is a block of whole documents: shard, block, ids before it in the shard, the documents' ids and
-lengths, control bytes, data bytes. Order is (shard, block). The folder also holds the rank table. All
-files go through Spark's writer, whose commit keeps one copy of what retried tasks write.
+Documents read from files that are in order already, such as a mix sorted by training position, are tokenised in that
+order where they are read, without moving: a file is a shard, a block is named by the row that it starts with.
+
+A file row is a block of whole documents: shard, block, the documents' ids and lengths, control bytes, data
+bytes. Order is (shard, block). The folder also holds the rank table. All files go through Spark's writer, whose
+commit keeps one copy of what retried tasks write.
 
 What reaches the driver is the count of each id: as many rows as the vocabulary has. Null ids come first;
 a null text is empty and still gets its end id; equal ids are ordered by their texts, so equal rows are
@@ -42,11 +45,11 @@ CACHED_TAILS = 10_000
 MARKS = string.punctuation.replace("'", "")
 
 _RAW = pa.schema([
-    ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()),
+    ("shard", pa.int32()), ("block", pa.int64()), ("file", pa.string()),
     ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()),
 ])
-_RAW_DDL = "shard int, block int, first long, doc_ids array<bigint>, lengths array<bigint>, ids binary"
-_CODED_DDL = "shard int, block int, first long, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
+_RAW_DDL = "shard int, block long, file string, doc_ids array<bigint>, lengths array<bigint>, ids binary"
+_CODED_DDL = "shard int, block long, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -215,36 +218,37 @@ def parts(text: str, size: int = BATCH_BYTES) -> Iterator[str]:
 
 
 def _blocks(path: str, end_id: int, block_ids: int):
-    """Batches of (doc_id, text) in order to blocks of ids."""
+    """Batches of (doc_id, text) in order to blocks of ids; of (doc_id, text, file, place) to blocks of rows that follow each other."""
 
     def run(batches):
         from pyspark import TaskContext
 
         shard, words = TaskContext.get().partitionId(), loaded(path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        state = {"block": 0, "first": 0, "held": 0, "ids": [], "docs": [], "lengths": []}
+        state = {"block": 0, "file": None, "next": None, "held": 0, "ids": [], "docs": [], "lengths": []}
 
         def flush():
             out = pa.RecordBatch.from_arrays([
-                pa.array([shard], pa.int32()), pa.array([state["block"]], pa.int32()), pa.array([state["first"]], pa.int64()),
+                pa.array([shard], pa.int32()), pa.array([state["block"]], pa.int64()), pa.array([state["file"]], pa.string()),
                 pa.array([state["docs"]], pa.list_(pa.int64())), pa.array([state["lengths"]], pa.list_(pa.int64())),
                 pa.array([b"".join(state["ids"])], pa.binary()),
             ], schema=_RAW)
-            state.update(block=state["block"] + 1, first=state["first"] + state["held"], held=0, ids=[], docs=[], lengths=[])
+            state.update(block=state["block"] + 1, held=0, ids=[], docs=[], lengths=[])
             return out
 
         def encoded(group):
-            short = iter(words.encode([t for _, t in group if len(t) <= BATCH_BYTES]))
-            for doc, text in group:
+            short = iter(words.encode([t for _, t, _ in group if len(t) <= BATCH_BYTES]))
+            for doc, text, at in group:
                 ids = next(short) if len(text) <= BATCH_BYTES else words.encode_long(text)
-                yield doc, ids + end
+                yield doc, ids + end, at
 
         def groups():
             group, size = [], 0
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at = zip(*[batch.column(i).to_pylist() for i in (2, 3)]) if batch.num_columns > 2 else [None] * batch.num_rows
+                for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), at):
                     text = text.as_py()
-                    group.append((doc, text))
+                    group.append((doc, text, place))
                     size += len(text)
                     if size >= BATCH_BYTES:
                         yield group
@@ -252,7 +256,14 @@ def _blocks(path: str, end_id: int, block_ids: int):
             yield group
 
         for group in groups():
-            for doc, ids in encoded(group):
+            for doc, ids, at in encoded(group):
+                if at and at != state["next"]:  # another file, or rows between that another task reads
+                    if state["docs"]:
+                        yield flush()
+                    state.update(file=at[0], block=at[1])
+                elif at and not state["docs"]:
+                    state["block"] = at[1]
+                state["next"] = at and (at[0], at[1] + 1)
                 state["docs"].append(doc)
                 state["lengths"].append(len(ids) // 4)
                 state["ids"].append(ids)
@@ -317,22 +328,25 @@ def _coder(rank_of: np.ndarray):
         forget()
         for batch in batches:
             for block in map(batch.slice, range(batch.num_rows), [1] * batch.num_rows):
-                control, data = encode_ranks(rank_of[np.frombuffer(block.column(5)[0].as_buffer(), "<u4")])
+                control, data = encode_ranks(rank_of[np.frombuffer(block.column(4)[0].as_buffer(), "<u4")])
                 yield pa.RecordBatch.from_arrays(
-                    [*block.columns[:5], pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                    names=["shard", "block", "first", "doc_ids", "lengths", "control", "data"],
+                    [*block.columns[:4], pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                    names=["shard", "block", "doc_ids", "lengths", "control", "data"],
                 )
 
     return run
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, column: str = "text", block_ids: int = BLOCK_IDS) -> None:
-    """Tokenise all documents into ``folder``."""
+def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, column: str = "text", block_ids: int = BLOCK_IDS, as_stored: bool = False) -> None:
+    """Tokenise all documents into ``folder``, in order of their ids or, ``as_stored``, of the files that they are read from."""
     spark = docs.sparkSession
     path = path or tokenizer_path()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(column).alias("text"))
-    tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    own = [F.col("doc_id").cast("long").alias("doc_id"), whole_text(column).alias("text")]
+    if as_stored:
+        ordered = docs.select(*own, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
+    else:
+        tie = F.xxhash64("text")
+        ordered = docs.select(*own).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     raw = written(ordered.mapInArrow(_blocks(path, end_id, block_ids), _RAW_DDL), "token-ids", compression="zstd")
     counts = raw.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     held = sorted(((-r.n, r.id) for r in counts.collect()))  # a row per id of the vocabulary
@@ -340,15 +354,21 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     rank_of[[i for _, i in held]] = np.arange(len(held))
     ranks = spark.createDataFrame([(r, int(i), int(-n)) for r, (n, i) in enumerate(held)], "rank int, id int, n long")
     ranks.coalesce(1).write.parquet(f"{folder}/ranks")
+    if as_stored:
+        files = raw.select("file").distinct()  # as many as tasks that wrote them
+        number = F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long")
+        ranked = files.select("file", (F.row_number().over(Window.orderBy(number, "file")) - 1).alias("shard"))
+        raw = raw.drop("shard").join(F.broadcast(ranked), "file")
+    raw = raw.select("shard", "block", "doc_ids", "lengths", "ids")
     raw.mapInArrow(_coder(rank_of), _CODED_DDL).write.option("compression", "zstd").parquet(f"{folder}/ids")
 
 
-_DOCUMENT_DDL = "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
+_DOCUMENT_DDL = "doc_id long, shard int, block long, start long, n_tokens long, ids_crc32 long"
 
 
 def _decoder(id_of: np.ndarray, with_ids: bool):
-    """Blocks back to a row per document: doc_id, shard, start in the shard, length, checksum and, if asked for, ids."""
-    names = ["doc_id", "shard", "start", "n_tokens", "ids_crc32", "ids"][:6 if with_ids else 5]
+    """Blocks back to a row per document: doc_id, shard, block, start in the block, length, checksum and, if asked for, ids."""
+    names = ["doc_id", "shard", "block", "start", "n_tokens", "ids_crc32", "ids"][:7 if with_ids else 6]
 
     def run(batches):
         for batch in batches:
@@ -360,7 +380,7 @@ def _decoder(id_of: np.ndarray, with_ids: bool):
                 whole = memoryview(id_of[decode_ranks(row["control"], row["data"], int(ends[-1]))].astype("<u4").tobytes())
                 own = [whole[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
                 columns = [
-                    pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * len(own), pa.int32()), pa.array(row["first"] + starts),
+                    pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * len(own), pa.int32()), pa.array([row["block"]] * len(own), pa.int64()), pa.array(starts),
                     pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64()),
                 ]
                 if with_ids:
@@ -377,12 +397,14 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     id_of = np.zeros(max(len(ranks), 1), dtype="<u4")
     for r in ranks:
         id_of[r["rank"]] = r["id"]
-    sizes = blocks.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    offsets = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    sizes = blocks.select("shard", "block", own.alias("n"))  # a row per block
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", earlier(Window.orderBy("shard")).alias("offset"))  # a row per shard
+    placed = sizes.select("shard", "block", earlier(Window.partitionBy("shard").orderBy("block")).alias("inside")).join(shards, "shard")
     docs = blocks.mapInArrow(_decoder(id_of, with_ids), _DOCUMENT_DDL + ", ids binary" * with_ids)
-    start = (F.col("offset") + F.col("start")).alias("start")
-    return docs.join(offsets, "shard").select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    start = (F.col("offset") + F.col("inside") + F.col("start")).alias("start")
+    return docs.join(placed, ["shard", "block"]).select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:

@@ -374,3 +374,33 @@ def test_stages_follow_one_another(spark, docs, tmp_path):
     # documents taken twice are rows twice; what is left of them is the same
     assert rows(whole.select("doc_id", "n_tokens")) == rows(last.select("doc_id", "n_tokens"))
     assert decontaminate.leaks(mixed, spark.read.parquet(str(tmp_path / "benchmark.parquet"))).count() == 0
+
+
+def test_tokens_follow_the_order_of_the_files(spark, make, tmp_path):
+    """A mix in training order is tokenised in that order, passes apart, split files and blocks included, without a shuffle."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("one two three four five six".split()) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    path, folder = str(tmp_path / "mix"), str(tmp_path / "tokens")
+    mixed = mixing.mix(make(texts))
+    mixed.write.option("parquet.block.size", 4096).parquet(path)
+    docs = spark.read.parquet(path)
+    given = docs.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    assert len({r.doc_id for r in given}) < len(given)  # some have two passes
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        tokens.write(docs, folder, block_ids=500, as_stored=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = sorted(tokens.read(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [r.doc_id for r in given]
+    assert [r.start for r in got] == np.r_[0, np.cumsum([r.n_tokens for r in got])[:-1]].tolist()
+    by_text = tmp_path / "by-id"
+    tokens.write(make(texts), str(by_text))
+    want = {r.doc_id: bytes(r.ids) for r in tokens.read(spark, str(by_text)).collect()}
+    assert sum(bytes(r.ids) == want[r.doc_id] for r in got) >= len(got) - 2  # one document per source may be cut
+
+
+def test_no_token_files_from_an_empty_stage(spark, none, tmp_path):
+    none.select("doc_id", "text").write.parquet(str(tmp_path / "none"))
+    tokens.write(spark.read.parquet(str(tmp_path / "none")), str(tmp_path / "out"), as_stored=True)
+    assert tokens.read(spark, str(tmp_path / "out")).count() == 0
