@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "pipeline-tokens")
-    tokens.write(docs, folder)
+    tokens.write(docs, folder, as_stored=bool(docs.inputFiles()))  # the files of the stage before are in training order
     return tokens.summary(spark, folder)
 
 
