@@ -12,7 +12,7 @@ from hazelake.operators import fires, geo, panel, series, splits
 from hazelake.plans import alerts, forecast
 from hazelake.plans.features import pm25_lag_columns
 from hazelake.session import fresh_path
-from hazelake.sources import ingest
+from hazelake.sources import commits, ingest
 
 WEATHER = " ".join(f"{c}~" for c in WEATHER_COLUMNS)
 FIRES = " ".join(f"{c}~" for c in FIRE_COLUMNS)
@@ -117,6 +117,21 @@ def append_to_table(t):
     return ingest.read_appended(t.spark, folder)
 
 
+@query("append_committed", f"date@ Province {FIRES}", "SELECT * FROM daily")
+def append_committed(t):
+    """Two loads that overlap by five days, one of which commits while the other is being written, and a repeat."""
+    folder = fresh_path(t.spark, "committed")
+    first, second = t.daily.where("date <= DATE'2024-01-20'"), t.daily.where("date >= DATE'2024-01-16'")
+
+    def meanwhile(attempt):
+        if attempt == 0:
+            commits.append(second, folder, "date", run="second")
+
+    commits.append(first, folder, "date", run="first", before_claim=meanwhile)
+    commits.append(second, folder, "date", run="second")
+    return commits.read(t.spark, folder)
+
+
 @query("sink_roundtrip", f"Province Datetime PM25~ {FIRES}", "SELECT * FROM panel")
 def sink_roundtrip(t):
     folder = fresh_path(t.spark, "panel")
