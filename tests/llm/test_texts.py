@@ -162,6 +162,52 @@ def test_repeated_passages_are_found_and_kept_once(make):
         assert kept[i].startswith(texts[i - 1][:200]) and len(kept[i]) < len(texts[i - 1])
 
 
+def brute_repeats(texts, least):
+    """{number: (bytes in repeated runs, removed spans)} from a dictionary of all chunks."""
+    cut = {}
+    places = {}
+    for i, t in enumerate(texts, 1):
+        data, at = (t or "").encode(), 0
+        cut[i] = []
+        for end in (int(e) for e in chunks.cuts(data)):
+            cut[i].append((at, end))
+            places.setdefault(data[at:end], []).append((i, at))
+            at = end
+        assert at == len(data)
+    out = {}
+    for i, t in enumerate(texts, 1):
+        data, runs = (t or "").encode(), []
+        for a, b in cut[i]:
+            if len(places[data[a:b]]) > 1:
+                if runs and runs[-1][-1][1] == a:
+                    runs[-1].append((a, b))
+                else:
+                    runs.append([(a, b)])
+        good = [r for r in runs if r[-1][1] - r[0][0] >= least]
+        gone = sorted(x for r in good for x in r if min(places[data[x[0]:x[1]]]) != (i, x[0]))
+        merged = []
+        for a, b in gone:
+            if merged and merged[-1][1] == a:
+                merged[-1] = (merged[-1][0], b)
+            else:
+                merged.append((a, b))
+        if good:
+            out[i] = (sum(r[-1][1] - r[0][0] for r in good), merged)
+    return out
+
+
+@pytest.mark.parametrize("seed, least", [(1, 64), (2, 30), (3, 200)])
+def test_repeats_against_a_dictionary_of_chunks(make, seed, least):
+    rng = random.Random(seed)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh é") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    shared = [prose(n) for n in (12, 30, 90)]
+    texts = [prose(rng.randint(0, 40)) + "".join(rng.choice(["", *shared]) + prose(rng.randint(0, 30)) for _ in range(3)) for _ in range(40)]
+    texts += [None, "", texts[3], texts[3], shared[2] * 3, "a" * 5000, "b" + "a" * 5000]
+    got = {r.doc_id: (r.n_repeated, r.n_removed, [(x.start, x.end) for x in r.spans]) for r in chunks.repeats(make(texts), least=least).collect()}
+    want = brute_repeats(texts, least)
+    assert got == {i: (n, sum(b - a for a, b in spans), spans) for i, (n, spans) in want.items()} and len(want) > 20
+
+
 def test_chunks_take_odd_tables(docs, none):
     assert chunks.deduplicated(docs).count() == docs.count()
     assert chunks.repeats(none).count() == 0 and chunks.deduplicated(none).count() == 0
