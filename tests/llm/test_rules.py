@@ -365,6 +365,79 @@ def test_messages_come_in_reply_order(talk):
     assert order == [(1, 0), (1, 1), (1, 2), (2, 0), (1, 3), (2, 1)]
 
 
+def brute_links(messages):
+    """{(conv, turn): (reply, n_linked, thread, root, depth)} by looking through all messages for every quote."""
+
+    def unit_set(text):
+        """Distinct (level, body) of lines and of neighbouring lines of one level."""
+        lines = []
+        for line in (text or "").split("\n"):
+            mark = re.match(quotes.MARKS.replace("\\x20", " "), line)
+            bare = line[mark.end():] if mark else line
+            lines.append((mark[0].count(">") if mark else 0, " ".join(re.findall(r"[^\W_]+", bare.lower()))))
+        out, run = set(lines), []
+        for level, body in [*lines, (None, "")]:
+            if run and run[-1][0] != level:
+                if len(run) > 1:
+                    out.add((run[0][0], " ".join(b for _, b in run if b)))
+                run = []
+            run.append((level, body))
+        return {(level, body) for level, body in out if len(body.split(" ")) >= quotes.LEAST_WORDS}
+
+    parts = {(c, t): unit_set(text) for c, t, text in messages}
+    reply, n_linked = {}, {}
+    for (c, t), own in parts.items():
+        votes = {}
+        for level, body in own:
+            if not level:
+                continue
+            here = sorted(k for k in parts if k[0] == c and k[1] < t and (0, body) in parts[k])
+            first_here = min((k for k in parts if k[0] == c and (0, body) in parts[k]), default=None)
+            anywhere = min((k for k in parts if (0, body) in parts[k]), default=None)
+            to = here[0] if here and here[0] == first_here else anywhere if anywhere and anywhere[0] < c else None
+            if to:
+                words, n = votes.get((level, to), (0, 0))
+                votes[level, to] = (words + len(body.split(" ")), n + 1)
+        if votes:
+            reply[c, t] = min(votes, key=lambda v: (v[0], -votes[v][0], v[1][0] != c, v[1]))[1]
+            n_linked[c, t] = sum(n for _, n in votes.values())
+    thread = {c: c for c, _ in parts}
+    for _ in thread:
+        for k, to in reply.items():
+            thread[k[0]] = thread[to[0]] = min(thread[k[0]], thread[to[0]])
+    out = {}
+    for k in parts:
+        root, depth = k, 0
+        while root in reply:
+            root, depth = reply[root], depth + 1
+        out[k] = (reply.get(k), n_linked.get(k, 0), thread[k[0]], root, depth)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quotes_against_a_search_through_all_messages(spark, seed):
+    rng = random.Random(seed)
+    phrase = lambda: " ".join(rng.choice("bread rises slowly when it is warm, Über näht!".split()) for _ in range(rng.randint(1, 5)))
+    messages, said = [], [phrase()]
+    for conv in range(8):
+        for turn in range(rng.randint(1, 6)):
+            lines = []
+            for _ in range(rng.randint(0, 2)):
+                lines += [">" * rng.randint(1, 3) + rng.choice(["", " "]) + rng.choice(said).upper() for _ in range(rng.randint(1, 2))]
+                lines.append(rng.choice(["", phrase()]))
+            new = [phrase() for _ in range(rng.randint(0, 3))]
+            said += new
+            messages.append((conv, turn, "\n".join(lines + new)))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in messages], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(df).collect()}
+    want = brute_links(messages)
+    for k, (reply, n, thread, root, depth) in want.items():
+        r = got[k]
+        found = (r.reply_conv, r.reply_turn) if r.reply_conv is not None else None
+        assert (found, r.n_linked, r.thread_id, (r.branch_conv, r.branch_turn), r.depth) == (reply, n, thread, root, depth), k
+    assert sum(v[0] is not None for v in want.values()) > 4
+
+
 def test_quotes_take_odd_tables(talk):
     wide = talk.withColumns({"row": F.lit(1), "conv": F.lit("x"), "place": F.lit(2)})
     assert rows(quotes.conversations(wide)) == rows(quotes.conversations(talk))
