@@ -1,8 +1,10 @@
+import os
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from hazelake.catalog.tables import Tables
 from hazelake.functions import scalar as S
 from hazelake.operators import fires, panel, splits
 
@@ -126,3 +128,29 @@ def test_since_latest_includes_the_day(spark):
     assert splits.since_latest(df, "d", 1).count() == 2
     plan = splits.since_latest(df, "d", 1)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def laid_out(spark):
+    """Two stations with an hour each in the plan's eyes, a thousand in fact."""
+    hours = F.expr("explode(sequence(TIMESTAMP_NTZ'2024-01-01', TIMESTAMP_NTZ'2024-01-01' + INTERVAL 999 HOUR, INTERVAL 1 HOUR))")
+    return spark.range(2).select(F.format_string("P%d", "id").alias("Province"), hours.alias("Datetime"), F.rand(1).alias("temperature_2m"))
+
+
+def test_joins_of_hourly_tables_broadcast_neither(spark):
+    weather = laid_out(spark)
+    readings = weather.select("Province", "Datetime", F.lit(1.0).alias("PM25"))
+    for joined in (panel.join_observations(readings, weather), panel.attach_pm25(weather, readings), panel.attach_pm25(weather, readings).where("PM25 > 0")):
+        assert "BroadcastHashJoin" not in plan_of(joined)
+        assert joined.count() == 2000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_hours_are_laid_out_by_several_tasks(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    for table in (tables.weather, tables.pm25):
+        # a number of tasks that adaptive execution leaves alone
+        assert "REPARTITION_BY_NUM" in plan_of(table)
