@@ -112,3 +112,11 @@ def test_label_encode_is_alphabetical(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "Province string")
     got = {r.Province: r.label for r in series.label_encode(df, "Province", "label").collect()}
     assert got == {"a": 0, "b": 1}
+
+
+def test_ordinals_do_not_broadcast_the_rows(spark):
+    hours = F.expr("explode(sequence(TIMESTAMP_NTZ'2024-01-01', TIMESTAMP_NTZ'2024-01-01' + INTERVAL 99 HOUR, INTERVAL 1 HOUR))")
+    rows = spark.range(2).select("id", hours.alias("ts"))
+    numbered = series.with_ordinal(rows, "id", "ts", "n")
+    assert "BroadcastHashJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert [r["n"] for r in numbered.where("id = 1").orderBy("ts").collect()] == list(range(100))
