@@ -208,3 +208,31 @@ def test_mean_contributions_per_feature(spark):
     got = {r.feature: (r.mean_abs, r["mean"], r.n) for r in explain.mean_absolute(rows, ["a", "b"]).collect()}
     assert got == {"a": (2.0, -1.0, 2), "b": (1.0, -1.0, 2)}
     assert explain.mean_absolute(rows.where("false"), ["a", "b"]).isEmpty()
+
+
+def test_trees_read_only_the_columns_they_cut(spark):
+    from hazelake.catalog.q_models import FIXED_FEATURES, fixed_trees
+
+    fitted, rng = fixed_trees(), np.random.default_rng(4)
+    slim, used = fitted.ensemble.over_used(fitted.features)
+    assert sorted(FEATURES[i] for i in used) == sorted(FIXED_FEATURES)
+    x = rng.uniform(0, 80, (200, len(FEATURES)))
+    assert np.array_equal(slim.predict(x[:, used]), fitted.ensemble.predict(x))
+    whole, expected = leaf_games(fitted.ensemble)
+    part, same = leaf_games(slim)
+    assert same == expected and np.array_equal(attribute(part, x[:, used]), attribute(whole, x)[:, used])
+
+    rows = spark.createDataFrame([[float(v) for v in r] for r in x[:5]], FEATURES)
+    explained = explain.with_contributions(rows, fitted)
+    found = np.array([r["contributions"] for r in explained.collect()])
+    assert np.array_equal(found, attribute(whole, x[:5]))
+    long = explain.to_long(explained, FEATURES, [], only=FIXED_FEATURES)
+    assert long.count() == 15
+
+
+def test_trees_without_a_cut_still_score(spark):
+    nodes = pd.DataFrame([(0, 0, -1, 0.0, -1, -1, 7.0, 10.0)], columns=["tree", "id", "feature", "threshold", "left", "right", "value", "cover"])
+    fitted = model.Fitted(None, Ensemble.from_nodes(nodes, [1.0]), rounds=1)
+    rows = spark.createDataFrame([[float(i) for i in range(len(FEATURES))]], FEATURES)
+    assert model.score(rows, fitted).first()["predicted"] == 7.0
+    assert explain.with_contributions(rows, fitted).first()["contributions"] == [0.0] * len(FEATURES)
