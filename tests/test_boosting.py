@@ -138,3 +138,23 @@ def test_nothing_to_learn_from(spark):
         boosting.fit(rows.limit(0), rows, "y", COLUMNS)
     flat = boosting.fit(rows.selectExpr("a", "b", "c", "d", "1.5D AS y"), rows, "y", COLUMNS, Settings(rounds=2))
     assert flat.ensemble().predict(np.zeros((2, 4))).tolist() == [1.5, 1.5]
+
+
+def test_filled_trees_predict_what_descending_gives():
+    rng, settings = np.random.default_rng(5), {"l1": 0.1, "l2": 1.0, "step": 0.05}
+
+    def grown():
+        tree = [{"left": -1, "right": -1, "feature": -1, "bin": -1, "gradient": rng.normal(), "rows": 9}]
+        for i in range(40):
+            if i < len(tree) and (i == 0 or rng.random() < 0.7):
+                tree[i] |= {"left": len(tree), "right": len(tree) + 1, "feature": int(rng.integers(7)), "bin": int(rng.integers(64))}
+                tree += [{"left": -1, "right": -1, "feature": -1, "bin": -1, "gradient": rng.normal(), "rows": 9} for _ in range(2)]
+        return tree
+
+    bins, start = rng.integers(0, 64, (500, 7)).astype(np.uint8), rng.normal(size=500)
+    trees = [grown() for _ in range(6)] + [[{"left": -1, "right": -1, "feature": -1, "bin": -1, "gradient": 2.0, "rows": 3}]]
+    expected = start.copy()
+    for tree in trees:
+        expected += settings["step"] * np.array([boosting.leaf_value(n, settings) for n in tree])[boosting._descend(bins, tree)]
+    assert np.array_equal(boosting._predicted(bins, start, trees, settings), expected)
+    assert np.array_equal(boosting._filled(trees[-1], np.array([7.0]))[3], [7.0])
