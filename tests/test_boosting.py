@@ -158,3 +158,23 @@ def test_filled_trees_predict_what_descending_gives():
         expected += settings["step"] * np.array([boosting.leaf_value(n, settings) for n in tree])[boosting._descend(bins, tree)]
     assert np.array_equal(boosting._predicted(bins, start, trees, settings), expected)
     assert np.array_equal(boosting._filled(trees[-1], np.array([7.0]))[3], [7.0])
+
+
+def test_tasks_that_run_together_grow_the_trees_of_level_jobs(spark, tmp_path, monkeypatch):
+    settings = Settings(rounds=7, depth=4, step=0.3, row_share=0.8, tree_columns=1.0, level_columns=0.6, min_rows=3, chunk=2)
+    _, rows = table(spark, 600, 11)
+    boosting.fit(rows, rows, "y", COLUMNS, settings, str(tmp_path / "levels"), stop_after=0)
+    import shutil
+    for name in ("together", "broken"):
+        shutil.copytree(tmp_path / "levels", tmp_path / name)
+    levels = boosting.fit(rows, rows, "y", COLUMNS, settings, str(tmp_path / "levels"), one_task=0, held=0).state
+    assert len(levels.trees) == 7 and max(len(t) for t in levels.trees) > 15
+    together = boosting.fit(rows, rows, "y", COLUMNS, settings, str(tmp_path / "together"), one_task=0).state
+    assert (together.trees, together.errors) == (levels.trees, levels.errors)
+    # the predictions of five chunks are written once; a fit that broke off goes on from there
+    assert sorted(p.name for p in (tmp_path / "together").glob("chunk-*")) == ["chunk-00000", "chunk-00004"]
+    with monkeypatch.context() as m:  # a shared folder that tasks cannot open files in
+        m.setattr(boosting, "_files_in", lambda spark, path: None)
+        part = boosting.fit(rows, rows, "y", COLUMNS, settings, str(tmp_path / "broken"), one_task=0, stop_after=1)
+    assert part.rounds_fitted == 2 and not (tmp_path / "broken" / "messages").exists()
+    assert boosting.fit(rows, rows, "y", COLUMNS, settings, str(tmp_path / "broken"), one_task=0).state.trees == levels.trees

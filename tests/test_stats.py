@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazelake.operators import stats
-from hazelake.operators.quantiles import exact_quantiles
+from hazelake.operators.quantiles import column_quantiles, exact_quantiles
 
 
 def test_quantiles_match_numpy_through_passes(spark):
@@ -138,3 +138,19 @@ def test_value_counts_and_pivot(spark):
     dated = df.withColumn("Datetime", F.lit("2024-03-05 00:00:00").cast("timestamp_ntz"))
     wide = stats.pivot_months(dated, "p", F.count(F.lit(1))).na.fill(0).orderBy("p").collect()
     assert [r.m03 for r in wide] == [2, 1] and wide[0].m01 == 0
+
+
+def test_column_quantiles_equal_those_of_rows_per_value(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({
+        "spread": rng.normal(size=4000) * 10.0 ** rng.integers(-3, 9, 4000), "few": rng.integers(0, 5, 4000) - 2.0, "same": 2.5,
+        "none": np.nan, "holes": np.where(rng.random(4000) < 0.3, np.nan, rng.normal(size=4000)), "zero": np.where(rng.random(4000) < 0.5, 0.0, -0.0),
+    })
+    df = spark.createDataFrame(pdf).repartition(5)
+    probabilities = {f"q{i}": i / 16 for i in range(17)}
+    long = stats.to_long(df, list(pdf.columns), name="feature")
+    expected = {r["feature"]: {q: r[q] for q in probabilities} for r in exact_quantiles(long, "feature", "value", probabilities).collect()}
+    for cells in (64, 1 << 14):
+        got = column_quantiles(df, list(pdf.columns), probabilities, cells)
+        assert got == expected and "none" not in got
+    np.testing.assert_allclose(list(got["spread"].values()), np.quantile(pdf["spread"], list(probabilities.values())), rtol=1e-12)
