@@ -122,6 +122,24 @@ def test_fires_of_all_places_are_ranked_as_by_brute_force(spark):
         assert len(have) == 5 and all(abs(a - b) < 1e-9 for a, b in zip(have, want)), name
 
 
+def test_fires_below_the_floor_are_not_sorted_and_ties_at_it_stay(spark, monkeypatch):
+    from hazelake.operators import fires
+
+    ranked = {}
+    rank = fires.priority_top
+    monkeypatch.setattr(fires, "priority_top", lambda scored, n, key: ranked.setdefault("rows", scored) and rank(scored, n, key))
+    # one class of 300 fires that get weaker with the distance: all of it is joined, five fires and one equal to the fifth are ranked
+    burning = [(18.1 + i / 2000, 99.1, 31.0 - i / 20, date(2024, 1, 1)) for i in range(300)] + [(18.102, 99.1, 30.8, date(2024, 1, 2))]
+    hotspots = spark.createDataFrame(burning, "latitude double, longitude double, frp double, acq_date date")
+    places = spark.createDataFrame([("a", 18.09, 99.1, 0.0), ("b", 18.08, 99.1, 40.0)], "Province string, lat double, lon double, wind double")
+    got = sorted(fires.priority_top_of_all(hotspots, places, 5).collect(), key=lambda r: (r.Province, r["rank"]))
+    scored = fires.priority(hotspots.crossJoin(places), "lat", "lon", "wind")
+    want = sorted(rank(scored, 5).collect(), key=lambda r: (r.Province, r["rank"]))
+    assert [(r.Province, r["rank"], r.latitude, r.acq_date, r.priority) for r in got] == [(r.Province, r["rank"], r.latitude, r.acq_date, r.priority) for r in want]
+    assert ranked["rows"].count() < 20
+    assert "_floor" not in got[0]
+
+
 def test_fires_of_the_last_30_days_are_ranked(spark):
     import math
     import random
