@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazelake.functions import scalar as S
 from hazelake.operators.lookup import lookup
-from hazelake.operators.quantiles import exact_quantiles
+from hazelake.operators.quantiles import column_quantiles, exact_quantiles
 from hazelake.operators.series import lags, windowed
+from hazelake.session import materialised
 
 
 def to_long(df: DataFrame, columns, keys=(), name: str = "column", value: str = "value") -> DataFrame:
@@ -32,9 +33,10 @@ def profile(df: DataFrame, ts: str, key: str, columns) -> DataFrame:
 def describe_long(df: DataFrame, columns) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles per column.
 
-    The moments are one wide aggregate turned into rows afterwards; only the quartiles need the
-    values in long form.
+    The moments are one wide aggregate turned into rows afterwards. The columns are written once, because the quartiles
+    read them several times; no row is made per value.
     """
+    df = materialised(df.select(*columns), "columns")
     moments = {
         "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
     }
@@ -44,7 +46,10 @@ def describe_long(df: DataFrame, columns) -> DataFrame:
     ]
     base = wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
     wanted = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    quartiles = exact_quantiles(to_long(df, columns), "column", "value", wanted, few_groups=True)
+    found = column_quantiles(df, columns, wanted)
+    quartiles = df.sparkSession.createDataFrame(
+        [(c, *[float(found[c][q]) for q in wanted]) for c in columns if c in found], "column string, " + ", ".join(f"{q} double" for q in wanted)
+    )
     return base.join(quartiles, "column", "left").select(
         "column", "n", "mean", "std", "min", "q25", "q50", "q75", "max"
     )

@@ -103,6 +103,24 @@ def test_describe_matches_pandas(spark):
         np.testing.assert_allclose(got, expected[r["column"]].to_numpy())
 
 
+def test_describe_writes_no_row_per_value(spark, monkeypatch):
+    from hazelake.operators import quantiles
+
+    written, keep = [], quantiles.materialised
+
+    def counted(df, name):
+        out = keep(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(quantiles, "materialised", counted)
+    monkeypatch.setattr(stats, "materialised", counted, raising=False)
+    df = spark.createDataFrame([(float(i % 50), None if i % 3 else float(i), None) for i in range(200)], "a double, b double, c double")
+    got = {r["column"]: (r.n, r.q25, r.q50, r.q75) for r in stats.describe_long(df, ["a", "b", "c"]).collect()}
+    assert got == {"a": (200, 12.0, 24.5, 37.0), "b": (67, 49.5, 99.0, 148.5), "c": (0, None, None, None)}
+    assert max(written) == 200
+
+
 def test_autocorrelation_matches_pandas(spark, hours):
     rng = random.Random(6)
     values = list(np.cumsum([rng.gauss(0, 1) for _ in range(300)]))
