@@ -178,3 +178,14 @@ def test_tasks_that_run_together_grow_the_trees_of_level_jobs(spark, tmp_path, m
         part = boosting.fit(rows, rows, "y", COLUMNS, settings, str(tmp_path / "broken"), one_task=0, stop_after=1)
     assert part.rounds_fitted == 2 and not (tmp_path / "broken" / "messages").exists()
     assert boosting.fit(rows, rows, "y", COLUMNS, settings, str(tmp_path / "broken"), one_task=0).state.trees == levels.trees
+
+
+def test_bins_are_made_from_one_column_sent_to_python(spark):
+    names = [f"x{i}" for i in range(30)]
+    rows = spark.range(7).selectExpr("CAST(id AS DOUBLE) AS y", "0 AS part", *[f"CAST(id * {i} AS INT) AS x{i}" for i in range(30)])
+    made = boosting.binned(rows, names, [[1.0, 4.5]] * 30)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    sent = next(line for line in plan.splitlines() if "MapInArrow run(" in line).split("MapInArrow run(")[1].split(")")[0]
+    assert sent.count(",") == 2
+    got = {int(r.y): list(r.bins) for r in made.collect()}
+    assert got == {k: [int(k * i > 1) + int(k * i > 4.5) for i in range(30)] for k in range(7)}
