@@ -73,3 +73,13 @@ def test_no_plan_has_a_cross_join_or_a_window_in_one_task(spark, name):
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan()
     assert "CartesianProduct" not in plan.toString() and "NestedLoop" not in plan.toString()
     assert not single_task_windows(plan)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_queries_set_the_method_limit_in_sessions_that_have_the_default(spark):
+    limit, query = "spark.sql.codegen.hugeMethodLimit", entry.queries()["histogram"]
+    other = spark.newSession()
+    for given, wanted in (("65535", "8000"), ("3000", "3000")):
+        other.conf.set(limit, given)
+        query(other, SMALL)
+        assert other.conf.get(limit) == wanted
