@@ -32,13 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from hazelake.llm.common import whole_text, written
+from hazelake.llm.common import handed, whole_text, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 18
 BATCH_BYTES = 1 << 21
-CACHED_WORDS = 350_000
+#: bytes of texts or of blocks that a task hands to Python at a time, and about what a file's row group has
+HANDED = 1 << 23
+CACHED_WORDS = 300_000
 LONG_WORD = 64
 CACHED_TAILS = 10_000
 #: marks in ASCII but the apostrophe, which may belong to letters
@@ -51,6 +53,10 @@ _RAW = pa.schema([
 _RAW_DDL = "shard int, block long, file string, doc_ids array<bigint>, lengths array<bigint>, ids binary"
 _CODED_DDL = "shard int, block long, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
 
+#: writers hold a row group and readers up to 4,096 of its rows, here blocks of a megabyte; sizes are looked at after every
+#: block, rows are limited as well because ids that repeat take little room in files and all of it in memory
+ROW_GROUPS = {"parquet.block.size": str(HANDED), "parquet.block.row.count.limit": str(HANDED // (4 * BLOCK_IDS)), "parquet.page.size.row.check.min": "1"}
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -180,7 +186,9 @@ class WordTokenizer:
         pieces = self.pieces(text)
         first = self.encode_piece(pieces.pop(0), "")
         if len(self.known) > CACHED_WORDS:
-            self.known = _Generation(self.encode_piece, dict(self.known))
+            older = self.known
+            older.before = {}  # two generations at a time, neither of them copied
+            self.known = _Generation(self.encode_piece, older)
         return first + b"".join(map(self.known.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -347,9 +355,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     else:
         tie = F.xxhash64("text")
         ordered = docs.select(*own).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    raw = written(ordered.mapInArrow(_blocks(path, end_id, block_ids), _RAW_DDL), "token-ids", compression="zstd")
+    with handed(spark, HANDED):
+        raw = written(ordered.mapInArrow(_blocks(path, end_id, block_ids), _RAW_DDL), "token-ids", compression="zstd", **ROW_GROUPS)
     counts = raw.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    held = sorted(((-r.n, r.id) for r in counts.collect()))  # a row per id of the vocabulary
+    with handed(spark, HANDED):
+        held = sorted(((-r.n, r.id) for r in counts.collect()))  # a row per id of the vocabulary
     rank_of = np.zeros(max((i for _, i in held), default=0) + 1, dtype="<u4")
     rank_of[[i for _, i in held]] = np.arange(len(held))
     ranks = spark.createDataFrame([(r, int(i), int(-n)) for r, (n, i) in enumerate(held)], "rank int, id int, n long")
@@ -360,7 +370,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         ranked = files.select("file", (F.row_number().over(Window.orderBy(number, "file")) - 1).alias("shard"))
         raw = raw.drop("shard").join(F.broadcast(ranked), "file")
     raw = raw.select("shard", "block", "doc_ids", "lengths", "ids")
-    raw.mapInArrow(_coder(rank_of), _CODED_DDL).write.option("compression", "zstd").parquet(f"{folder}/ids")
+    with handed(spark, HANDED):
+        raw.mapInArrow(_coder(rank_of), _CODED_DDL).write.options(compression="zstd", **ROW_GROUPS).parquet(f"{folder}/ids")
 
 
 _DOCUMENT_DDL = "doc_id long, shard int, block long, start long, n_tokens long, ids_crc32 long"

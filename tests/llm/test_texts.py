@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from hazelake.llm import chunks, decontaminate, graph, mixing, quality, simhash, suffix, tokens
 from hazelake.llm.rindex import RunIndex, ranges
+from hazelake.session import fresh_path
 
 
 def rows(df):
@@ -450,3 +452,18 @@ def test_no_token_files_from_an_empty_stage(spark, none, tmp_path):
     none.select("doc_id", "text").write.parquet(str(tmp_path / "none"))
     tokens.write(spark.read.parquet(str(tmp_path / "none")), str(tmp_path / "out"), as_stored=True)
     assert tokens.read(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_blocks_stand_in_small_row_groups(spark, tmp_path):
+    """Writers hold a row group, readers all its rows at once: a file of many blocks must have several."""
+    docs = spark.range(1, 41).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 1 << 18).alias("text")).coalesce(1)
+    docs.write.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, known = spark.conf.get(key), set(Path(fresh_path(spark, "x")).parent.glob("token-ids-*"))
+    tokens.write(spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "out"), as_stored=True)
+    assert spark.conf.get(key) == before
+    (folder,) = set(Path(fresh_path(spark, "x")).parent.glob("token-ids-*")) - known
+    groups = [m.row_group(i) for f in folder.glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40
+    assert max(g.num_rows for g in groups) <= 2 * tokens.HANDED // (4 << 18)
+    assert tokens.summary(spark, str(tmp_path / "out")).count() == 40
