@@ -1,7 +1,10 @@
 """Boosting against a search of every cut written out in numpy."""
 
+from dataclasses import asdict
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from hazelake.plans import boosting
@@ -189,3 +192,33 @@ def test_bins_are_made_from_one_column_sent_to_python(spark):
     assert sent.count(",") == 2
     got = {int(r.y): list(r.bins) for r in made.collect()}
     assert got == {k: [int(k * i > 1) + int(k * i > 4.5) for i in range(30)] for k in range(7)}
+
+
+@pytest.mark.parametrize("n", [300, 40_000])
+def test_cells_of_two_columns_are_counted_in_one_pass(n, monkeypatch):
+    rng = np.random.default_rng(2)
+    bins, part = rng.integers(0, 64, (n, 7)).astype(np.uint8), np.zeros(n, np.int32)
+    y = rng.normal(size=n)
+    state = boosting.State([f"x{i}" for i in range(7)], [], 0.0, 2.0**20, n, asdict(Settings(row_share=1.0)))
+    columns = [np.arange(n), [r.tobytes() for r in bins], y, part, np.zeros(n)]
+    held = boosting._Rows([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "bins", "y", "part", "start"])], state)
+    held.draw(Settings(row_share=1.0), 0, state.scale)
+    held.node = rng.integers(0, 5, n)
+    passes = []
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: passes.append(1) or count(*a, **b))
+    g, rows = held.sums([1, 4], wanted := np.array([0, 2, 3, 5, 6]), 5)
+    assert len(passes) == (8 if n == 40_000 else 10)  # of gradients and of rows: pairs, or columns where rows are few
+    for k, c in enumerate(wanted):
+        for i, node in enumerate((1, 4)):
+            own = held.node == node
+            assert np.array_equal(rows[k, i], count(bins[own, c], minlength=64))
+            assert np.array_equal(g[k, i], count(bins[own, c], weights=held.gradient[own], minlength=64))
+    # rows go where their bins say
+    tree = [{"left": 1, "right": 2, "feature": 5, "bin": 20}, {"left": -1, "right": -1, "feature": -1, "bin": -1}, {"left": -1, "right": -1, "feature": -1, "bin": -1}]
+    held.node = np.zeros(n, dtype=np.int64)
+    held.step_down(tree)
+    assert np.array_equal(held.node, np.where(bins[:, 5] <= 20, 1, 2))
+    full = [t | {"gradient": float(i), "rows": 9} for i, t in enumerate(tree)]
+    held.add(full, state.settings)
+    assert np.array_equal(held.guess, boosting._predicted(bins, np.zeros(n), [full], state.settings))

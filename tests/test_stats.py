@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hazelake.operators import stats
+from hazelake.operators import quantiles, stats
 from hazelake.operators.quantiles import column_quantiles, exact_quantiles
 
 
@@ -172,3 +172,15 @@ def test_column_quantiles_equal_those_of_rows_per_value(spark):
         got = column_quantiles(df, list(pdf.columns), probabilities, cells)
         assert got == expected and "none" not in got
     np.testing.assert_allclose(list(got["spread"].values()), np.quantile(pdf["spread"], list(probabilities.values())), rtol=1e-12)
+
+
+def test_column_quantiles_end_with_lists_of_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.normal(size=3000), "b": rng.gamma(2.0, size=3000), "c": np.round(rng.normal(size=3000), 1)})
+    passes, counted = [], quantiles._cells_of_columns
+    monkeypatch.setattr(quantiles, "_cells_of_columns", lambda *a: passes.append(1) or counted(*a))
+    probabilities = {f"q{i}": i / 8 for i in range(9)}
+    got = column_quantiles(spark.createDataFrame(pdf).repartition(4), list(pdf.columns), probabilities, 1 << 10, 400)
+    assert len(passes) <= 3
+    for c in pdf.columns:
+        np.testing.assert_allclose(list(got[c].values()), np.quantile(pdf[c], list(probabilities.values())), rtol=1e-12)
