@@ -236,3 +236,14 @@ def test_trees_without_a_cut_still_score(spark):
     rows = spark.createDataFrame([[float(i) for i in range(len(FEATURES))]], FEATURES)
     assert model.score(rows, fitted).first()["predicted"] == 7.0
     assert explain.with_contributions(rows, fitted).first()["contributions"] == [0.0] * len(FEATURES)
+
+
+def test_a_forecast_is_sent_only_the_columns_that_trees_cut_and_steps_do_not_redo(panel):
+    from hazelake.catalog.q_models import fixed_trees
+
+    window = forecast.forecast_window(panel, "2024-01-16 19:00:00")
+    inputs = forecast.recursive_inputs(window, target_encoding(panel, "2024-01-14 00:00:00"))
+    plan = forecast.forecast_recursive(inputs, fixed_trees())._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(line for line in plan.splitlines() if "MapInPandas run(" in line).split("MapInPandas run(")[1].split(")")[0]
+    assert [c.split("#")[0] for c in sent.split(", ")] == ["Province", "Datetime", "PM25", "temperature_2m"]
+    assert "pm25_roll" not in plan and "hotspot_roll" not in plan
