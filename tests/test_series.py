@@ -120,3 +120,15 @@ def test_ordinals_do_not_broadcast_the_rows(spark):
     numbered = series.with_ordinal(rows, "id", "ts", "n")
     assert "BroadcastHashJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
     assert [r["n"] for r in numbered.where("id = 1").orderBy("ts").collect()] == list(range(100))
+
+
+def test_ordinals_use_the_exchange_of_a_join_by_day(spark):
+    hours = spark.range(300).selectExpr("'A' AS k", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(id * 5 % 301 AS INT)) AS ts")
+    dated = hours.withColumn("date", F.to_date("ts"))
+    days = dated.select("k", "date").distinct().withColumn("v", F.lit(1))
+    joined = dated.join(days.hint("merge"), ["date", "k"], "left")
+    got, before = series.with_ordinal(joined, "k", "ts", day="date"), series.with_ordinal(joined, "k", "ts")
+    for df in (got, before):
+        assert [r._position for r in df.orderBy("ts").collect()] == list(range(300))
+    dealt = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (got, before)]
+    assert dealt[0] < dealt[1]
