@@ -247,3 +247,20 @@ def test_a_forecast_is_sent_only_the_columns_that_trees_cut_and_steps_do_not_red
     sent = next(line for line in plan.splitlines() if "MapInPandas run(" in line).split("MapInPandas run(")[1].split(")")[0]
     assert [c.split("#")[0] for c in sent.split(", ")] == ["Province", "Datetime", "PM25", "temperature_2m"]
     assert "pm25_roll" not in plan and "hotspot_roll" not in plan
+
+
+def test_a_batch_is_dealt_out_by_day_once(spark, panel):
+    from hazelake.plans.batch import batch_frame
+
+    history = panel.select("Province", "Datetime", "PM25", *WEATHER_COLUMNS)
+    daily = panel.groupBy(F.to_date("Datetime").alias("date"), "Province").agg(*[F.max(c).alias(c) for c in FIRE_COLUMNS])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        frame = batch_frame(history, history.drop("PM25"), daily, "2024-01-16 19:00:00")
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(Datetime" not in plan
+        assert plan.count("hashpartitioning(date") >= 1
+        assert frame.count() == frame.select("Province", "Datetime").distinct().count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
